@@ -39,10 +39,10 @@ def snapshot_changes(rows: DataFrame, steps: DataFrame, group: str, number: str,
     )
     signed = state.select(group, *key, "__v", F.explode(sides).alias("s")).select(group, F.col("s.at").alias(number), *key, "__v", F.col("s.side").alias("side"))
     residue = signed.groupBy(group, number, *key, "__v").agg(F.sum("side").alias("side")).where(F.col("side") != 0)
-    later, earlier = residue.where(F.col("side") > 0), residue.where(F.col("side") < 0)
     on = [group, number, *key]
-    joined = later.select(*on, F.lit(True).alias("__l")).join(earlier.select(*on, F.lit(True).alias("__e")), on, "full_outer")
-    change = F.when(F.col("__e").isNull(), "added").when(F.col("__l").isNull(), "removed").otherwise("changed")
+    # the full join of both sides' residues by key, as one grouping: they already lie together
+    joined = residue.groupBy(*on).agg(F.max(F.col("side") > 0).alias("__l"), F.max(F.col("side") < 0).alias("__e"))
+    change = F.when(~F.col("__e"), "added").when(~F.col("__l"), "removed").otherwise("changed")
     return joined.select(*on, change.alias("change"))
 
 
