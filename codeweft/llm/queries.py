@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import encoding, leakage, setjoin
+from codeweft.llm import encoding, leakage, mixing, setjoin, source_kind
 from codeweft.plans.base import Register
 from codeweft.session import table
 
 R = Register()
 
+@R.add("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return source_kind.judged(table(spark, d, "file_node"), table(spark, d, "cached_entity")).where(~F.col("handwritten")).select("id")
+
+
+@R.add("p1_judged")
+def p1_judged(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with its notice, the forest's probability and the verdict."""
+    return source_kind.judged(table(spark, d, "file_node"), table(spark, d, "cached_entity"))
+
+
 SIMILARITY, MIN_SET = 0.7, 4
 CACHED, SHARED = 0, 1
 
@@ -77,6 +88,18 @@ def p6_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+@R.add("p7_mix")
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The combined corpus: every record used, with its source, size and number of copies."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+
+
+@R.add("p7_shares")
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and reached share of each source."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+
+
 @R.add("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.damaged_documents(table(spark, d, "documents"))[0].select("doc_id")
