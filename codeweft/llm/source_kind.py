@@ -31,7 +31,8 @@ MINIFIED_NOTICE = r"(?i)[._-](min|packed|bundle|prod)\.(js|css)$|(^|/)chunk-[0-9
 DATA_NOTICE = r"(?i)\.(dat|data)\.\w+$|_(blob|data)\.(py|r)$"
 HAND_NOTICE = r"(^|/)(tests?|tools|scripts)/"
 
-FEATURES = ["log_size", "log_lines", "line_length", "entities", "log_tokens", "most_tokens", "mean_tokens", "comment_density", "name_length", "longest_name", "shortest_name", "compression", "entropy", "numbered"]
+#: How long a file is says nothing, so its plain size and lines are no features; of line length and tokens the order of magnitude counts.
+FEATURES = ["line_length", "entities", "most_tokens", "mean_tokens", "comment_density", "name_length", "longest_name", "shortest_name", "compression", "entropy", "numbered", "token_entropy", "token_spread"]
 
 
 def notice(path: Column | str) -> Column:
@@ -51,6 +52,7 @@ def file_features(files: DataFrame, entities: DataFrame) -> DataFrame:
     per = e.groupBy("f").agg(
         F.count(F.lit(1)).alias("entities"), F.sum("t").alias("tokens"), F.max("t").alias("most_tokens"), F.avg("t").alias("mean_tokens"), F.avg(F.length("name")).alias("name_length"),
         F.max(F.length("name")).alias("longest_name"), F.min(F.length("name")).alias("shortest_name"), F.avg(F.col("name").rlike(r"\d$").cast("int")).alias("numbered"),
+        (F.stddev_pop("t") / F.when(F.avg("t") > 0, F.avg("t"))).alias("token_spread"),
     )
     words = e.select("f", F.explode(F.regexp_extract_all("name", F.lit("[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), F.lit(0))).alias("w"))
     counts = words.groupBy("f", F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
@@ -58,18 +60,22 @@ def file_features(files: DataFrame, entities: DataFrame) -> DataFrame:
     coded = counts.groupBy("f").agg(
         ((F.sum(F.length("w")) + F.sum("n")) / F.sum((F.length("w") + 1) * F.col("n"))).alias("compression"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2(F.col("n").cast("double"))) / F.sum("n")).alias("entropy")
     )
+    # of the token counts, against as many entities that all differ
+    n = F.col("n").cast("double")
+    sizes = e.groupBy("f", "t").agg(F.count(F.lit(1)).alias("n")).groupBy("f").agg((F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)).alias("bits"), F.sum(n).alias("all"))
+    sizes = sizes.select("f", F.when(F.col("all") > 1, F.col("bits") / F.log2("all")).alias("token_entropy"))
     size, lines, tokens = (F.col(c).cast("double") for c in ("size", "lines", "tokens"))
-    return f.join(per, f["id"] == per["f"], "left").drop("f").join(coded, f["id"] == coded["f"], "left").select(
+    return f.join(per, f["id"] == per["f"], "left").drop("f").join(coded, f["id"] == coded["f"], "left").drop("f").join(sizes, f["id"] == sizes["f"], "left").select(
         "id",
         ids.normalised("id").alias("path"),
         *(
             F.coalesce(x.cast("double"), F.lit(-1.0)).alias(n)
             for n, x in {
-                "log_size": F.log1p(size), "log_lines": F.log1p(lines), "line_length": F.when(lines > 0, size / lines), "entities": F.coalesce("entities", F.lit(0)), "log_tokens": F.log1p(tokens),
-                "most_tokens": F.col("most_tokens"), "mean_tokens": F.col("mean_tokens"),
+                "line_length": F.when(lines > 0, F.floor(F.log2(size / lines + 1))), "entities": F.coalesce("entities", F.lit(0)),
+                "most_tokens": F.floor(F.log2(F.col("most_tokens") + 1.0)), "mean_tokens": F.floor(F.log2(F.col("mean_tokens") + 1.0)),
                 # bytes that no token of an entity accounts for
                 "comment_density": F.when(size > 0, 1 - F.least(F.lit(1.0), 4 * tokens / size)),
-                "name_length": F.col("name_length"), "longest_name": F.col("longest_name"), "shortest_name": F.col("shortest_name"), "compression": F.col("compression"), "entropy": F.col("entropy"), "numbered": F.col("numbered"),
+                "name_length": F.col("name_length"), "longest_name": F.col("longest_name"), "shortest_name": F.col("shortest_name"), "compression": F.col("compression"), "entropy": F.col("entropy"), "numbered": F.col("numbered"), "token_entropy": F.col("token_entropy"), "token_spread": F.col("token_spread"),
             }.items()
         ),
     )
@@ -86,10 +92,11 @@ def fit_forest(featured: DataFrame, max_train: int = MAX_TRAIN) -> RandomForestC
     # a seeded part by hash of the path, the same at every run and partitioning
     keep = min(1.0, max_train / sum(n.values()))
     part = labelled.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1_000_000)) < keep * 1_000_000)
-    half = sum(n.values()) / 2
-    weighed = part.withColumn("weight", F.when(F.col("label") == 1.0, half / n[1.0]).otherwise(half / n[0.0]))
+    # negatives stand for all files without a notice, most of which are hand-written
+    plain = featured.where(kind.isNull()).count()
+    weighed = part.withColumn("weight", F.when(F.col("label") == 1.0, 1.0).otherwise(max(1.0, plain / n[0.0])))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(weighed).select("features", "label", "weight").coalesce(4)
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight", minInstancesPerNode=2, maxMemoryInMB=64).fit(vectors)
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight", minInstancesPerNode=5, maxBins=128, featureSubsetStrategy="0.5", maxMemoryInMB=64).fit(vectors)
 
 
 def judged(files: DataFrame, entities: DataFrame) -> DataFrame:
