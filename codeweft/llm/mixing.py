@@ -81,10 +81,10 @@ def water_fill(weights: dict[str, float], capacity: dict[str, float], total: flo
     free = {s: w for s, w in weights.items() if w > 0}
     left = total
     while free:
-        level = left / sum(free.values())
-        over = [s for s, w in free.items() if w * level >= capacity.get(s, 0)]
+        whole = sum(free.values())
+        over = [s for s, w in free.items() if left * (w / whole) >= capacity.get(s, 0)]
         if not over:
-            got |= {s: w * level for s, w in free.items()}
+            got |= {s: left * (w / whole) for s, w in free.items()}
             break
         for s in sorted(over):
             got[s] = capacity.get(s, 0)
