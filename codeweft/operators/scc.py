@@ -121,9 +121,14 @@ def _coloured(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, max_local_edges: int = MAX_LOCAL_EDGES) -> DataFrame:
     """(id, scc) of every node in a component of two or more, scc being the least member."""
-    e = trimmed(edges)
-    weak = weak_components(e) if not e.isEmpty() else e.select(F.col("source").alias("id"), F.col("target").alias("component"))
-    placed = staged(e.join(weak.withColumnRenamed("id", "source"), "source"))
+    plain = edges.select("source", "target").where(F.col("source") != F.col("target")).distinct()
+    if plain.limit(max_local_edges + 1).count() <= max_local_edges:
+        placed = plain.withColumn("component", F.lit(""))  # all of it fits one task
+    else:
+        e = trimmed(edges)
+        weak = weak_components(e) if not e.isEmpty() else e.select(F.col("source").alias("id"), F.col("target").alias("component"))
+        placed = e.join(weak.withColumnRenamed("id", "source"), "source")
+    placed = staged(placed)
     size = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     local = placed.join(size.where(F.col("n") <= max_local_edges), "component", "left_semi")
 
@@ -158,12 +163,47 @@ def edges_in_cycles(edges: DataFrame, cyclic: DataFrame) -> DataFrame:
     return edges.join(s, "source").join(t, "target").where(F.col("scc") == F.col("scc_t")).drop("scc_t")
 
 
-def shortest_cycles(edges: DataFrame, cyclic: DataFrame) -> DataFrame:
+def local_cycle(edges: list[tuple[str, str]], root: str) -> list[str]:
+    """The least of the shortest closed walks from root."""
+    out: dict[str, list[str]] = {}
+    for a, b in sorted(set(edges)):
+        out.setdefault(a, []).append(b)
+    before, level = {}, [root]
+    while level:
+        after = []
+        for v in level:
+            if root in out.get(v, ()):
+                path = [root, v] if v != root else [root]
+                while v != root and before[v] != root:
+                    v = before[v]
+                    path.insert(1, v)
+                return [*path, root]
+            for w in out.get(v, ()):
+                if w != root and w not in before:
+                    before[w] = v
+                    after.append(w)
+        level = after
+    return []
+
+
+def shortest_cycles(edges: DataFrame, cyclic: DataFrame, max_local_edges: int = MAX_LOCAL_EDGES) -> DataFrame:
     """(scc, path): the least of the shortest closed walks from each component's least member, as node ids.
 
-    Paths grow one hop a round, and of all paths to a node only the least is kept.
+    Small components are walked in one task each; in large ones paths grow by a join for every hop, and of all paths to a
+    node only the least is kept.
     """
     inner = staged(edges_in_cycles(edges.select("source", "target").distinct(), cyclic).select("scc", "source", "target"))
+    size = inner.groupBy("scc").agg(F.count(F.lit(1)).alias("n"))
+    large = staged(size.where(F.col("n") > max_local_edges).select("scc"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        root = pdf["scc"].iloc[0]
+        return pd.DataFrame({"scc": [root], "path": [local_cycle(list(zip(pdf["source"], pdf["target"])), root)]})
+
+    local = inner.join(large, "scc", "left_anti").groupBy("scc").applyInPandas(walk, "scc string, path array<string>")
+    if large.isEmpty():
+        return local
+    inner, cyclic = inner.join(large, "scc", "left_semi"), cyclic.join(large, "scc", "left_semi")
     front = staged(cyclic.select("scc").distinct().select("scc", F.col("scc").alias("at"), F.array("scc").alias("path")))
     seen, closed = front.select("scc", "at"), None
     while not front.isEmpty():
@@ -172,7 +212,7 @@ def shortest_cycles(edges: DataFrame, cyclic: DataFrame) -> DataFrame:
         closed = staged(back if closed is None else closed.unionByName(back))
         front = staged(step.join(closed.select("scc"), "scc", "left_anti").join(seen, ["scc", "at"], "left_anti"))
         seen = staged(seen.unionByName(front.select("scc", "at")))
-    return closed if closed is not None else front.select("scc", "path")
+    return local.unionByName(closed)
 
 
 def import_cycles(imports: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ class SchemaMismatch(ValueError):
 
 
 def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(path, mtimeMs, size[, content]) of all files below root, paths relative to it; without content no file is opened."""
+    """(path, mtimeMs, size[, content]) of all files below root, paths relative to it; without content no file is opened. The reader leaves out files without a byte."""
     base = os.path.abspath(root.removeprefix("file://")) if "://" not in root or root.startswith("file://") else root.rstrip("/")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(base.rstrip("/")) + "/", "")
