@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions import ids
+from codeweft.session import staged
 
 # States of a folder from best to worst.
 STATES = ["current", "outdated", "never"]
@@ -82,3 +83,23 @@ def visible_edges(edges: DataFrame, show_all: bool = False) -> DataFrame:
     width = F.least(1 + F.log2(F.col("weight") + 1), F.lit(6.0))
     kept = rows if show_all else rows.where(F.col("weight") >= F.col("weightP90"))
     return kept.select(F.concat_ws("|", "kind", "from", "to").alias("id"), "from", "to", "kind", "weight", width.alias("width"))
+
+
+def inherited_status(folders_: DataFrame, status: DataFrame) -> DataFrame:
+    """(folder, status): each folder's own status or that of its nearest ancestor with one; never if none has."""
+    return folders_.select("folder").join(nearest_document(folders_, status.select(F.col("folder").alias("path"), F.col("status").alias("document"))), "folder", "left").select("folder", F.coalesce("document", F.lit("never")).alias("status"))
+
+
+def layout(tree: DataFrame) -> DataFrame:
+    """(path, depth, y): leaves one below the other in the order of their paths, a parent midway between its first and last child.
+
+    tree: path, parent, depth; one pass a level, from the deepest up. Leaves are ranked by a range sort, not in one task.
+    """
+    leaves = tree.join(tree.select(F.col("parent").alias("path")).distinct(), "path", "left_anti")
+    rank = leaves.select("path").rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex()
+    placed = staged(tree.sparkSession.createDataFrame(rank, "path string, y long").select("path", F.col("y").cast("double").alias("y")).join(tree.select("path", "parent", "depth"), "path"))
+    top = tree.agg(F.max("depth")).first()[0] or 0
+    for depth in range(top, 0, -1):
+        kids = placed.where(F.col("depth") == depth).groupBy(F.col("parent").alias("path")).agg(((F.min("y") + F.max("y")) / 2).alias("y"))
+        placed = staged(placed.unionByName(kids.join(tree.select("path", "parent", "depth"), "path").join(placed.select("path"), "path", "left_anti")))
+    return placed.select("path", "depth", "y")

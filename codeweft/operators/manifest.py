@@ -81,3 +81,20 @@ def folder_lines(files: DataFrame) -> DataFrame:
 
 def over_budget(files: DataFrame) -> DataFrame:
     return files.agg(F.count(F.when(F.col("lines") > LINE_BUDGET, 1)).alias("filesOverBudget"))
+
+
+def moved(old: DataFrame, stats: DataFrame) -> DataFrame:
+    """(path) of files to hash: unknown ones and those whose time or size differs; the rest is unchanged without being read."""
+    o = old.select("path", F.col("mtimeMs").alias("m"), F.col("size").alias("s"))
+    return stats.join(o, "path", "left").where(F.col("m").isNull() | (F.col("mtimeMs") != F.col("m")) | (F.col("size") != F.col("s"))).select("path")
+
+
+def refresh_plan(old: DataFrame, stats: DataFrame, folder: str) -> DataFrame:
+    """(path, purge, rescan) for a folder whose files changed: changed and deleted files are purged, and the whole subtree is scanned again."""
+    d = diff_manifest(old, stats, folder)
+    return d.select("path", F.col("change").isin("changed", "deleted").alias("purge"), (F.col("change") != "deleted").alias("rescan"))
+
+
+def merged_coverage(parts: DataFrame) -> DataFrame:
+    """One row over (decision, files, heuristic) parts of several scans: counts summed, flags joined."""
+    return parts.groupBy("decision").agg(F.sum("files").alias("files"), F.bool_or("heuristic").alias("heuristic"))

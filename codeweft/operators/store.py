@@ -84,6 +84,13 @@ def folders_with_watched(watched: DataFrame) -> DataFrame:
     return watched.select(F.explode(ids.ancestors("path")).alias("folder")).groupBy("folder").agg(F.count(F.lit(1)).alias("files"))
 
 
+def migrate_watch(entries: DataFrame, files: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(path, hash): a watch list of files and folders spelled out as files, each with the hash it was saved with, if any."""
+    inside = files.select("path", F.explode(F.concat(ids.ancestors("path"), F.array("path"))).alias("entry"))
+    hit = inside.join(entries.select(F.col("path").alias("entry")), "entry", "left_semi").select("path").distinct()
+    return hit.join(hashes.select("path", "hash"), "path", "left")
+
+
 def store_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("fileId").alias("fileCount"))
     return n.crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
