@@ -14,7 +14,11 @@ class Register:
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
 
-    def add(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(self, name: str, sql: str | None = None, **types: str) -> Callable[[Query], Query]:
+        """Registers a query; types casts columns of the SQL to what Spark gives."""
+        if sql and types:
+            sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())}) FROM ({sql})"
+
         def put(f: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"{name} is registered twice")

@@ -341,7 +341,7 @@ def a1(s: S, d: str) -> D:
     return metrics.hubs(graph_of(s, d).file_imports).withColumn("instability", F.round("instability", 9))
 
 
-@R.add("o1_hubs_ranked", sql(f"SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id) AS place FROM ({HUB_ROWS}) QUALIFY place <= 10", HUBS))
+@R.add("o1_hubs_ranked", sql(f"SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id) AS place FROM ({HUB_ROWS}) QUALIFY place <= 10", HUBS), place="INTEGER")
 def o1(s: S, d: str) -> D:
     from pyspark.sql import Window
 
@@ -386,12 +386,12 @@ def _width(s: S, d: str) -> tuple[D, D]:
     return metrics.interface_width(g.files, g.file_imports, g.entities, g.calls), doors
 
 
-@R.add("a3_interface_width", sql("SELECT scope, module, treeDepth, w, round(wEff, 9) AS wEff, moduleDepth, round(dmr, 9) AS dmr, isBarrel FROM width", WIDTH))
+@R.add("a3_interface_width", sql("SELECT scope, module, treeDepth, w, round(wEff, 9) AS wEff, moduleDepth, round(dmr, 9) AS dmr, isBarrel FROM width", WIDTH), treeDepth="INTEGER", moduleDepth="BIGINT")
 def a3(s: S, d: str) -> D:
     return _width(s, d)[0].withColumns({"wEff": F.round("wEff", 9), "dmr": F.round("dmr", 9)})
 
 
-@R.add("a4_top_entry_points", sql("SELECT scope, module, entry, inbound, row_number() OVER (PARTITION BY scope, module ORDER BY inbound DESC, entry) AS place FROM doors QUALIFY place <= 5", WIDTH))
+@R.add("a4_top_entry_points", sql("SELECT scope, module, entry, inbound, row_number() OVER (PARTITION BY scope, module ORDER BY inbound DESC, entry) AS place FROM doors QUALIFY place <= 5", WIDTH), place="INTEGER")
 def a4(s: S, d: str) -> D:
     return metrics.top_entry_points(_width(s, d)[1])
 
@@ -521,7 +521,7 @@ def _tree(s: S, d: str) -> D:
     return folders.folder_tree(f, docs.unionByName(s.createDataFrame([(first_folder(s, d) + "/src",)], "path string")))
 
 
-@R.add("a10_folder_tree", sql("SELECT path, CASE WHEN path = '' THEN NULL WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent, regexp_extract(path, '[^/]*$') AS name, CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) END AS depth, fileCount, totalLOC, documented FROM tree", TREE))
+@R.add("a10_folder_tree", sql("SELECT path, CASE WHEN path = '' THEN NULL WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent, regexp_extract(path, '[^/]*$') AS name, CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) END AS depth, fileCount, totalLOC, documented FROM tree", TREE), depth="INTEGER", totalLOC="BIGINT")
 def a10(s: S, d: str) -> D:
     return _tree(s, d)
 
@@ -584,17 +584,17 @@ def s6(s: S, d: str) -> D:
     return files(s, d).where(manifest.in_ignored_folder("path")).select("path")
 
 
-@R.add("s17_line_counts", "SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE len(string_split(text, chr(10))) END AS lines FROM documents WHERE text IS NOT NULL")
+@R.add("s17_line_counts", "SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE len(string_split(text, chr(10))) END AS lines FROM documents WHERE text IS NOT NULL", lines="INTEGER")
 def s17(s: S, d: str) -> D:
     return table(s, d, "documents").where("text is not null").select("doc_id", manifest.line_count("text").alias("lines"))
 
 
-@R.add("s18_folder_lines", sql(f"SELECT {q_folder('path')} AS folder, {EXT} AS ext, count(*) AS files, sum(greatest(coalesce(lines, 0), 1)) AS lines FROM files GROUP BY 1, 2"))
+@R.add("s18_folder_lines", sql(f"SELECT {q_folder('path')} AS folder, {EXT} AS ext, count(*) AS files, sum(greatest(coalesce(lines, 0), 1)) AS lines FROM files GROUP BY 1, 2"), lines="BIGINT")
 def s18(s: S, d: str) -> D:
     return manifest.folder_lines(files(s, d))
 
 
-@R.add("s28_lazy_population", sql("SELECT coalesce(sum(lines), 0) AS lines, coalesce(sum(lines), 0) > 10000 AS filesOnly FROM files"))
+@R.add("s28_lazy_population", sql("SELECT coalesce(sum(lines), 0) AS lines, coalesce(sum(lines), 0) > 10000 AS filesOnly FROM files"), lines="BIGINT")
 def s28(s: S, d: str) -> D:
     return manifest.lazy(files(s, d))
 

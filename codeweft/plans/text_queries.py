@@ -280,7 +280,7 @@ def j13(s: S, d: str) -> D:
     return rows.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("smell")), " ").alias("smells"))
 
 
-@R.add("w6_colour_ranks", sql(f"SELECT id, dense_rank() OVER (ORDER BY folder) - 1 AS folderRank, row_number() OVER (PARTITION BY folder ORDER BY id) - 1 AS nodeRank FROM (SELECT id, CASE WHEN contains(id, '/') THEN {q_folder('id')} ELSE 'misc' END AS folder FROM inodes)"))
+@R.add("w6_colour_ranks", sql(f"SELECT id, dense_rank() OVER (ORDER BY folder) - 1 AS folderRank, row_number() OVER (PARTITION BY folder ORDER BY id) - 1 AS nodeRank FROM (SELECT id, CASE WHEN contains(id, '/') THEN {q_folder('id')} ELSE 'misc' END AS folder FROM inodes)"), folderRank="INTEGER", nodeRank="INTEGER")
 def w6(s: S, d: str) -> D:
     """Each node's folder rank and its rank in the folder; folders are ranked among themselves, so no window spans all nodes."""
     from pyspark.sql import Window
@@ -308,7 +308,7 @@ def u5(s: S, d: str) -> D:
     return own.distinct().join(nodes(s, d).select("id"), "id", "left_anti")
 
 
-@R.add("v8_viewer_folders", sql(f"SELECT folder, len(string_split(folder, '/')) - 1 AS depth, count(*) AS files FROM (SELECT unnest({q_ancestors('path')}) AS folder FROM files) GROUP BY folder"))
+@R.add("v8_viewer_folders", sql(f"SELECT folder, len(string_split(folder, '/')) - 1 AS depth, count(*) AS files FROM (SELECT unnest({q_ancestors('path')}) AS folder FROM files) GROUP BY folder"), depth="INTEGER")
 def v8(s: S, d: str) -> D:
     f = files(s, d).select(F.explode(ids.ancestors("path")).alias("folder")).groupBy("folder").agg(F.count(F.lit(1)).alias("files"))
     return f.select("folder", (F.size(F.split("folder", "/")) - 1).alias("depth"), "files")

@@ -24,7 +24,7 @@ def a1_titles(s: S, d: str) -> D:
     return h.select("id", F.concat(F.lit("Ca="), "ca", F.lit(" Ce="), "ce", F.lit(" I="), numbers.to_fixed("instability")).alias("title"))
 
 
-@R.add("a6_quantiles", sql("SELECT p, round(v, 9) AS v FROM (SELECT unnest([0.0, 0.25, 0.5, 0.9, 1.0]) AS p, unnest(quantile_cont(weight, [0.0, 0.25, 0.5, 0.9, 1.0])) AS v FROM fo)", FOLDER_EDGES))
+@R.add("a6_quantiles", sql("SELECT p, round(v, 9) AS v FROM (SELECT unnest([0.0, 0.25, 0.5, 0.9, 1.0]) AS p, unnest(quantile_cont(weight, [0.0, 0.25, 0.5, 0.9, 1.0])) AS v FROM fo)", FOLDER_EDGES), p="DOUBLE")
 def a6(s: S, d: str) -> D:
     p = [0.0, 0.25, 0.5, 0.9, 1.0]
     q = _folder_edges(s, d).agg(F.percentile("weight", F.array(*map(F.lit, p))).alias("q"))
@@ -88,7 +88,7 @@ def o8(s: S, d: str) -> D:
     return _tree(s, d).where("path <> ''").groupBy("parent").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("children"))
 
 
-@R.add("o9_heaviest_folder_edges", sql('SELECT kind, "from", "to", weight, row_number() OVER (PARTITION BY kind ORDER BY weight DESC, "from", "to") AS place FROM fo QUALIFY place <= 10', FOLDER_EDGES))
+@R.add("o9_heaviest_folder_edges", sql('SELECT kind, "from", "to", weight, row_number() OVER (PARTITION BY kind ORDER BY weight DESC, "from", "to") AS place FROM fo QUALIFY place <= 10', FOLDER_EDGES), place="INTEGER")
 def o9(s: S, d: str) -> D:
     w = Window.partitionBy("kind").orderBy(F.desc("weight"), "from", "to")
     return _folder_edges(s, d).withColumn("place", F.row_number().over(w)).where("place <= 10")
@@ -173,7 +173,7 @@ def v5(s: S, d: str) -> D:
     return edges(s, d).where(F.col("source").startswith(first_folder(s, d) + "/")).groupBy("kind").agg(F.count(F.lit(1)).alias("edges"))
 
 
-@R.add("v6_view_nodes", sql("SELECT path AS id, regexp_extract(path, '[^/]*$') AS label, fileCount, totalLOC FROM tree WHERE path <> ''", TREE))
+@R.add("v6_view_nodes", sql("SELECT path AS id, regexp_extract(path, '[^/]*$') AS label, fileCount, totalLOC FROM tree WHERE path <> ''", TREE), totalLOC="BIGINT")
 def v6(s: S, d: str) -> D:
     return _tree(s, d).where("path <> ''").select(F.col("path").alias("id"), F.col("name").alias("label"), "fileCount", "totalLOC")
 
@@ -233,7 +233,7 @@ def f18c(s: S, d: str) -> D:
     return _status(s, d).select("folder", c.alias("colour"))
 
 
-@R.add("a13_module_distance", sql(f"SELECT severity, count(*) AS clusters, sum(members) AS members FROM ({EXACT}) GROUP BY severity"))
+@R.add("a13_module_distance", sql(f"SELECT severity, count(*) AS clusters, sum(members) AS members FROM ({EXACT}) GROUP BY severity"), members="BIGINT")
 def a13(s: S, d: str) -> D:
     return clones.exact_clones(entities(s, d)).groupBy("severity").agg(F.count(F.lit(1)).alias("clusters"), F.sum("members").alias("members"))
 
