@@ -21,7 +21,8 @@ def merge_references(refs: DataFrame, parents: DataFrame, tasks: int | None = No
     refs: key STRING, at TIMESTAMP and any further columns, which are kept. parents: key, opened, closed (null: still
     there); opened counts as inside, closed as outside. Intervals that are empty or without a key or start never hold.
     A reference with a null key refers to nothing and is left out; one without a time can't lie in an interval, and is
-    missing, or late where the parent exists at some time. Repeated rows stay repeated. Empty tables are fine on either side.
+    missing, or late where the parent exists at some time. Repeated rows stay repeated. A further column named state comes
+    out as state_ref. Empty tables are fine on either side.
     """
     extra = [c for c in refs.columns if c not in ("key", "at")]
     refs = refs.where(F.col("key").isNotNull())
@@ -37,7 +38,7 @@ def merge_references(refs: DataFrame, parents: DataFrame, tasks: int | None = No
         "key", "at", "row", F.sum("step").over(sofar).alias("open"), F.max(F.when(F.col("step") == 1, 1)).over(sofar).alias("before"), F.max(F.when(F.col("step") == 1, 1)).over(run).alias("ever")
     ).where(F.col("row").isNotNull())
     state = F.when(F.col("open") > 0, "found").when(F.col("before") == 1, "deleted").when(F.col("ever") == 1, "late").otherwise("missing")
-    return merged.select("key", "at", *(F.col(f"row.{c}").alias(c) for c in extra), state.alias("state"))
+    return merged.select("key", "at", *(F.col(f"row.{c}").alias("state_ref" if c == "state" else c) for c in extra), state.alias("state"))
 
 
 def graph_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:

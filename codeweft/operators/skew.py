@@ -85,9 +85,14 @@ def _placed(df: DataFrame, plan: FragmentPlan, keys: tuple[str, ...]) -> DataFra
 
 
 def fragment(df: DataFrame, plan: FragmentPlan, keys: list[str] | str | None = None, spread: Column | None = None) -> DataFrame:
-    """df with its task in __task; spread decides the shard of a heavy key's row (its place in the input by default)."""
+    """df with its task in __task; spread decides the shard of a heavy key's row.
+
+    By default that is a hash of the row and of its input partition, which a repeated task finds again, whatever the order
+    its rows come in; copies of a row in one partition stay together.
+    """
     keys = plan.keys if keys is None else (keys,) if isinstance(keys, str) else tuple(keys)
-    spread = F.monotonically_increasing_id() if spread is None else spread
+    if spread is None:
+        spread = F.xxhash64(F.spark_partition_id(), *(F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()))
     out = _placed(df, plan, keys)
     n = F.size(SHARDS)
     return out.withColumn(
@@ -122,8 +127,23 @@ def fragment_join(left: DataFrame, right: DataFrame, key: str, how: str = "left"
     return a.join(b, (a[TASK] == b["__rtask"]) & (a[key] == b["__rk"]), how).drop(TASK, "__rtask", "__rk")
 
 
+def hot_hashes(df: DataFrame, keys: list[str], tasks: int | None = None) -> list[int]:
+    """xxhash64 of every key that holds more than half a task's fair share of the rows: at most two a task.
+
+    A pass of bounded memory a task names candidates, none missing; a second one counts them exactly.
+    """
+    tasks = tasks or parallelism(df.sparkSession)
+    h = df.select(F.xxhash64(*map(F.col, keys)).alias("h"))
+    maybe = h.stat.freqItems(["h"], max(1e-4, 1 / (2 * tasks))).first()[0] or []
+    counts = h.groupBy(F.when(F.col("h").isin(maybe), F.col("h")).alias("h")).agg(F.count(F.lit(1)).alias("n")).collect() if maybe else []
+    total = sum(r["n"] for r in counts)
+    return sorted(r["h"] for r in counts if r["h"] is not None and r["n"] * 2 * tasks > total)
+
+
 def fragment_counts(df: DataFrame, key: str, plan: FragmentPlan | None = None) -> DataFrame:
-    """(key, rows): counted per key and shard first, then merged over the few shards. Null keys give no row."""
+    """(key, rows): counted per key and shard first, then merged over the few shards. Null keys give no row; a key may not be named rows."""
+    if key == "rows":
+        raise ValueError("the key's name is taken by the count")
     plan = plan or plan_fragments(df, key)
     parts = fragment(df.select(key).where(F.col(key).isNotNull()), plan).groupBy(TASK, key).agg(F.count(F.lit(1)).alias("rows"))
     return parts.groupBy(key).agg(F.sum("rows").alias("rows"))

@@ -2,7 +2,8 @@
 
 Every row stands once with +1 in its own snapshot and once with -1 in the next one; the sums over whole rows are EXCEPT ALL
 in both directions at once (positive: only in the later snapshot, negative: only in the earlier), and identical rows are
-gone. The few residues are full-joined by key and labelled. All of it runs on one shuffle, by group and key.
+gone. The few residues are full-joined by key and labelled. All of it runs on one shuffle, by group and key; a key with so
+many writings that one task would wait for it is reduced before it moves.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import ids
+from codeweft.operators.skew import hot_hashes
 from codeweft.session import small
 
 
@@ -25,23 +27,29 @@ def snapshot_changes(rows: DataFrame, steps: DataFrame, group: str, number: str,
 
     rows: the snapshots, one row per record or more. steps: from snapshot_steps; rows of other snapshots are ignored. If a
     key stands several times in a snapshot, the row with the greatest order counts. Rows with a null in group or key are
-    ignored; null values equal each other. A snapshot in steps without rows is empty, and a group's first gives no changes.
+    ignored; null values equal each other. Further columns of rows play no part, whatever their names. A snapshot in steps without rows is empty, and a group's first gives no changes.
     """
-    rows = rows.where(F.col(group).isNotNull()).dropna(subset=key).withColumn("__order", order)
+    rows = rows.where(F.col(group).isNotNull()).dropna(subset=key).select(group, number, *key, *values, order.alias("__order"))
     placed = rows.join(small(steps), [group, number])
-    record = F.max_by(F.struct(*values), F.col("__order")) if values else F.max(F.struct(F.lit(1)))
-    state = placed.repartition(group, *key).groupBy(group, number, "__next", "__first", *key).agg(record.alias("__v"))
+    by = [group, number, "__next", "__first", *key]
+    writings = placed.select(*by, F.struct(*values, F.lit(1).alias("__one")).alias("__v"), "__order")
+    hot = hot_hashes(rows, [group, *key])
+    if hot:
+        is_hot = F.xxhash64(group, *key).isin(hot)
+        reduced = writings.where(is_hot).groupBy(*by).agg(F.max_by("__v", "__order").alias("__v"), F.max("__order").alias("__order"))
+        writings = writings.where(~is_hot).unionByName(reduced)
+    state = writings.repartition(group, *key).groupBy(*by).agg(F.max_by("__v", "__order").alias("__v"))
     sides = F.array_compact(
         F.array(
-            F.when(~F.col("__first"), F.struct(F.col(number).alias("at"), F.lit(1).alias("side"))),
-            F.when(F.col("__next").isNotNull(), F.struct(F.col("__next").alias("at"), F.lit(-1).alias("side"))),
+            F.when(~F.col("__first"), F.struct(F.col(number).alias("__at"), F.lit(1).alias("__side"))),
+            F.when(F.col("__next").isNotNull(), F.struct(F.col("__next").alias("__at"), F.lit(-1).alias("__side"))),
         )
     )
-    signed = state.select(group, *key, "__v", F.explode(sides).alias("s")).select(group, F.col("s.at").alias(number), *key, "__v", F.col("s.side").alias("side"))
-    residue = signed.groupBy(group, number, *key, "__v").agg(F.sum("side").alias("side")).where(F.col("side") != 0)
+    signed = state.select(group, *key, "__v", F.explode(sides).alias("__s")).select(group, F.col("__s.__at").alias(number), *key, "__v", F.col("__s.__side").alias("__side"))
+    residue = signed.groupBy(group, number, *key, "__v").agg(F.sum("__side").alias("__side")).where(F.col("__side") != 0)
     on = [group, number, *key]
     # the full join of both sides' residues by key, as one grouping: they already lie together
-    joined = residue.groupBy(*on).agg(F.max(F.col("side") > 0).alias("__l"), F.max(F.col("side") < 0).alias("__e"))
+    joined = residue.groupBy(*on).agg(F.max(F.col("__side") > 0).alias("__l"), F.max(F.col("__side") < 0).alias("__e"))
     change = F.when(~F.col("__e"), "added").when(~F.col("__l"), "removed").otherwise("changed")
     return joined.select(*on, change.alias("change"))
 

@@ -6,13 +6,14 @@ T = [dt.datetime(2025, 1, d) for d in range(1, 29)]
 
 
 def test_states_and_interval_ends(spark, rows):
-    refs = spark.createDataFrame([("a", T[d], d, "extra") for d in (0, 1, 2, 4, 5, 9)] + [("none", T[3], 90, "e"), (None, T[3], 91, "e"), ("a", None, 92, "e"), ("once", T[1], 93, "e"), ("once", T[1], 93, "e")], "key string, at timestamp, ord int, state_of string")
+    refs = spark.createDataFrame([("a", T[d], d, "x") for d in (0, 1, 2, 4, 5, 9)] + [("none", T[3], 90, "e"), (None, T[3], 91, "e"), ("a", None, 92, "e"), ("once", T[1], 93, "e"), ("once", T[1], 93, "e")], "key string, at timestamp, ord int, state string")
     parents = spark.createDataFrame(
         [("a", T[1], T[4]), ("a", T[1], T[4]), ("a", T[5], None), ("once", T[1], T[1]), (None, T[0], None), ("x", None, None), ("b", T[0], None)], "key string, opened timestamp, closed timestamp"
     )
     got = rows(orphans.merge_references(refs, parents, tasks=3), "key", "ord", "state")
     want = [("a", 0, "late"), ("a", 1, "found"), ("a", 2, "found"), ("a", 4, "deleted"), ("a", 5, "found"), ("a", 9, "found"), ("a", 92, "late"), ("none", 90, "missing"), ("once", 93, "missing"), ("once", 93, "missing")]
     assert got == sorted(want, key=str)
+    assert "state_ref" in orphans.merge_references(refs, parents).columns
 
 
 def test_empty_tables(spark):

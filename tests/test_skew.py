@@ -55,3 +55,16 @@ def test_join_equals_plain_join_with_clashing_columns(spark, rows):
 def test_report_shows_the_gain(spark):
     r = skew.skew_report(frame(spark, ["hot"] * 5000 + [f"k{i}" for i in range(5000)]), "k", 10).first()
     assert r["hash_max"] >= 5000 and r["planned_max"] <= 1200
+
+
+def test_hot_hashes(spark):
+    df = frame(spark, ["hot"] * 300 + [f"k{i}" for i in range(700)])
+    want = [r[0] for r in df.where("k = 'hot'").select(F.xxhash64("k")).distinct().collect()]
+    assert skew.hot_hashes(df, ["k"], 8) == want and skew.hot_hashes(df.where("k <> 'hot'"), ["k"], 8) == [] and skew.hot_hashes(df.limit(0), ["k"], 8) == []
+
+
+def test_shards_are_found_again(spark):
+    df = frame(spark, ["hot"] * 500 + ["a", "b"]).repartition(3)
+    plan = skew.plan_fragments(df, "k", 4)
+    once, twice = ({(r["n"], r["__task"]) for r in skew.fragment(df, plan).collect()} for _ in range(2))
+    assert once == twice and len({t for n, t in once if n < 500}) > 1

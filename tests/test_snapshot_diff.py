@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from codeweft.operators import snapshot_diff
 
 SCHEMA = "g string, no int, k string, v string, w string, ord long"
+ODD = "s string, __side int, at string, side string, w string, ord long"
 
 
 def changes(spark, data, steps):
@@ -42,3 +43,15 @@ def test_against_brute_force_with_a_hot_group(spark, rows):
             x, y = state.get((g, a), {}), state.get((g, b), {})
             want += [(g, b, k, "added" if k not in x else "removed" if k not in y else "changed") for k in x.keys() | y.keys() if x.get(k, 0) != y.get(k, 0)]
     assert rows(changes(spark, data, steps)) == sorted(want, key=str)
+
+
+def test_a_key_with_most_writings(spark, rows):
+    data = [("g", 1 + i % 2, "hot", str(i), None, i) for i in range(3000)] + [("g", 1 + i % 2, f"k{i // 2}", "x", None, i) for i in range(200)]
+    assert rows(changes(spark, data, [("g", 1), ("g", 2)])) == [("g", 2, "hot", "changed")]
+
+
+def test_odd_names(spark, rows):
+    r = spark.createDataFrame([("g", 1, "a", "x", "y", 1), ("g", 2, "b", "x", "y", 2)], ODD)
+    steps = snapshot_diff.snapshot_steps(spark.createDataFrame([("g", 1), ("g", 2)], "s string, __side int"), "s", "__side")
+    got = snapshot_diff.snapshot_changes(r.withColumnRenamed("__side", "no").withColumn("step", F.lit(1)), steps.withColumnRenamed("__side", "no"), "s", "no", ["at"], ["side"], F.col("ord"))
+    assert rows(got) == [("g", 2, "a", "removed"), ("g", 2, "b", "added")]
