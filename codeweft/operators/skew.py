@@ -130,14 +130,17 @@ def fragment_join(left: DataFrame, right: DataFrame, key: str, how: str = "left"
 def hot_hashes(df: DataFrame, keys: list[str], tasks: int | None = None) -> list[int]:
     """xxhash64 of every key that holds more than half a task's fair share of the rows: at most two a task.
 
-    A pass of bounded memory a task names candidates, none missing; a second one counts them exactly.
+    One pass counts hash buckets, of which there are 64 a task; only where a bucket is that full are its keys counted.
     """
     tasks = tasks or parallelism(df.sparkSession)
-    h = df.select(F.xxhash64(*map(F.col, keys)).alias("h"))
-    maybe = h.stat.freqItems(["h"], max(1e-4, 1 / (2 * tasks))).first()[0] or []
-    counts = h.groupBy(F.when(F.col("h").isin(maybe), F.col("h")).alias("h")).agg(F.count(F.lit(1)).alias("n")).collect() if maybe else []
-    total = sum(r["n"] for r in counts)
-    return sorted(r["h"] for r in counts if r["h"] is not None and r["n"] * 2 * tasks > total)
+    h = df.select(F.xxhash64(*map(F.col, keys)).alias("h")).withColumn("b", F.pmod("h", F.lit(64 * tasks).cast("long")))
+    buckets = {r["b"]: r["n"] for r in h.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    least = sum(buckets.values()) / (2 * tasks)
+    full = [b for b, n in buckets.items() if n > least]
+    if not full:
+        return []
+    counts = h.where(F.col("b").isin(full)).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r["h"] for r in counts.where(F.col("n") > least).collect())
 
 
 def fragment_counts(df: DataFrame, key: str, plan: FragmentPlan | None = None) -> DataFrame:
