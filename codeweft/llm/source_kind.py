@@ -27,7 +27,7 @@ TREES, DEPTH, SEED, THRESHOLD = 40, 8, 42, 0.5
 VENDOR_NOTICE = r"(?i)(^|/)(vendor|_vendor|vendored|third[_-]?party|3rd[_-]?party|externals?|extern|deps|submodules|node_modules|bower_components|jspm_packages|site-packages|dist-packages)/"
 VERSION_NOTICE = r"(^|/)[A-Za-z][\w.]*-v?\d+\.\d+(\.\d+)+/"
 GENERATED_NOTICE = r"(^|/)(__generated__|[Gg]enerated|gen|autogen)/|(?i:[._-](generated|gen|g|designer|pb|tab)\.\w+$|_pb2(_grpc)?\.pyi?$|(^|/)(zz_generated[_.]|moc_|lex\.)[^/]*$|(^|/)ui_[^/]*_form\.py$)"
-MINIFIED_NOTICE = r"(?i)[._-](min|packed|bundle|prod)\.(js|css)$|(^|/)chunk-[0-9a-f]{6,}\.js$|[.-][0-9a-f]{8}\.js$"
+MINIFIED_NOTICE = r"(?i)(^|/)dist/|[._-](min|packed|bundle|prod)\.(js|css)$|(^|/)chunk-[0-9a-f]{6,}\.js$|[.-][0-9a-f]{8}\.js$"
 DATA_NOTICE = r"(?i)\.(dat|data)\.\w+$|_(blob|data)\.(py|r)$"
 HAND_NOTICE = r"(^|/)(tests?|tools|scripts)/"
 
