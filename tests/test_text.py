@@ -153,3 +153,12 @@ def test_stream_keeps_net_state_and_batches_may_repeat(spark, tmp_path, rows):
     assert rows(watch.read_state(spark, f"file://{tmp_path}/state")) == rows(watch.net_state(ev, order))
     bursts = watch.debounced(ev.withColumn("k", F.lit("s")), "2 minutes", ["k"]).collect()
     assert len(bursts) == 1 and bursts[0]["events"] == 200
+
+
+def test_dom_sources_and_routes(spark, rows):
+    src = spark.createDataFrame(
+        [("a", "x.dataset.id; y.getAttribute('k')"), ("b", "q.querySelector('z').textContent + w.getAttribute('k')"), ("c", "none"), ("d", "type PageView = 'one' | 'two';\nregisterView('one')")], "fileId string, text string"
+    )
+    assert rows(review.dom_sources(src)) == [("a", ".dataset.id"), ("b", "querySelector('z').textContent")]
+    assert rows(review.dormant_routes(src)) == [("two",)]
+    assert review.missing_notes(spark.createDataFrame([("D1", "issue-validated", " "), ("D2", "issue-validated", "why"), ("D3", "non-issue", None)], "id string, status string, note string")).count() == 1
