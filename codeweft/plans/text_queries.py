@@ -25,29 +25,31 @@ S, D = SparkSession, DataFrame
 
 
 def _arts(s: S, d: str) -> D:
-    docs = table(s, d, "documents").where("path is not null and text is not null").groupBy("path").agg(F.min("text").alias("text"))
+    """Artifacts of every distinct (path, text): a path may hold several texts that have nothing in common; copies count once."""
+    docs = table(s, d, "documents").where("path is not null and text is not null").select("path", "text").distinct()
     return staged(extract.artifacts(docs))
 
 
 @R.add("x1_entities")
 def x1(s: S, d: str) -> D:
-    """Entities of every source text, by the extractor of its path's language."""
-    return _arts(s, d).select("path", "language", F.inline("entities")).select("path", "language", "name", "kind", "exported", "startLine", "endLine", F.size("calls").alias("calls"))
+    """Entities of every source text, by the extractor of its path's language; textHash tells the texts of a path apart."""
+    return _arts(s, d).select("path", "textHash", "language", F.inline("entities")).select("path", "textHash", "language", "name", "kind", "exported", "startLine", "endLine", F.size("calls").alias("calls"))
 
 
 @R.add("x5_artifact_counts")
 def x5(s: S, d: str) -> D:
-    return _arts(s, d).groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.count("error").alias("errors"), F.sum(F.size("entities")).alias("entities"), F.sum(F.size("imports")).alias("imports"))
+    """Per language: paths, their distinct texts, and what the texts hold."""
+    return _arts(s, d).groupBy("language").agg(F.count_distinct("path").alias("files"), F.count(F.lit(1)).alias("texts"), F.count("error").alias("errors"), F.sum(F.size("entities")).alias("entities"), F.sum(F.size("imports")).alias("imports"))
 
 
 @R.add("x11_artifact_nodes")
 def x11(s: S, d: str) -> D:
-    return resolve.entity_nodes(_arts(s, d))
+    return resolve.entity_nodes(_arts(s, d), "textHash")
 
 
 @R.add("x13_artifact_calls")
 def x13(s: S, d: str) -> D:
-    return resolve.call_edges_of(_arts(s, d))
+    return resolve.call_edges_of(_arts(s, d), "textHash")
 
 
 STEM = r"regexp_replace(regexp_replace(target, '\.[A-Za-z]+$', ''), '/index$', '')"

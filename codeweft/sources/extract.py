@@ -7,6 +7,7 @@ braces. Calls can't be typed here, so they are matched by name, and their call g
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame
 SCHEMA = (
     "path string, language string, error string, "
     "imports array<struct<source:string,typeOnly:boolean,names:array<struct<name:string,alias:string>>,line:int>>, exports array<string>, "
-    "entities array<struct<name:string,kind:string,exported:boolean,startLine:int,endLine:int,calls:array<struct<name:string,kind:string>>>>"
+    "entities array<struct<name:string,kind:string,exported:boolean,startLine:int,endLine:int,calls:array<struct<name:string,kind:string>>>>, "
+    "textHash string"
 )
 
 
@@ -238,7 +240,10 @@ def extract(path: str, text: str) -> tuple[str | None, Artifact, str | None]:
 
 
 def artifacts(sources: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """One artifact row per source file of a known language; null paths and texts are left out, errors are rows of their own."""
+    """One artifact row per source file of a known language; null paths and texts are left out, errors are rows of their own.
+
+    textHash, the text's md5, tells several texts of one path apart.
+    """
     from pyspark.sql import functions as F
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -251,7 +256,7 @@ def artifacts(sources: DataFrame, path: str = "path", text: str = "text") -> Dat
             for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 language, a, error = extract(p, t)
                 if language:
-                    out.append({"path": p, "language": language, "error": error, "imports": a.imports, "exports": a.exports, "entities": a.entities})
+                    out.append({"path": p, "language": language, "error": error, "imports": a.imports, "exports": a.exports, "entities": a.entities, "textHash": hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 

@@ -55,12 +55,12 @@ def resolve_module(stems: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files.select("path").distinct(), "path").groupBy("stem").agg(F.min_by("path", "rank").alias("path"))
 
 
-def entity_nodes(arts: DataFrame) -> DataFrame:
-    """(id, name, kind, fileId, callGraph): a file node per artifact and a node per entity; unusual kinds count as functions."""
-    f = arts.select(F.col("path").alias("id"), ids.basename("path").alias("name"), F.lit("file").alias("kind"), F.col("path").alias("fileId"), capability("path").alias("callGraph"))
-    e = arts.select("path", F.inline("entities"))
+def entity_nodes(arts: DataFrame, *keep: str) -> DataFrame:
+    """(id, name, kind, fileId, callGraph, *keep): a file node per artifact and a node per entity; unusual kinds count as functions."""
+    f = arts.select(F.col("path").alias("id"), ids.basename("path").alias("name"), F.lit("file").alias("kind"), F.col("path").alias("fileId"), capability("path").alias("callGraph"), *keep)
+    e = arts.select("path", *keep, F.inline("entities"))
     kind = F.when(F.col("kind").isin("class", "method", "arrow", "const"), F.col("kind")).otherwise("function")
-    return f.unionByName(e.select(ids.entity_id("path", "name").alias("id"), "name", kind.alias("kind"), F.col("path").alias("fileId"), capability("path").alias("callGraph")))
+    return f.unionByName(e.select(ids.entity_id("path", "name").alias("id"), "name", kind.alias("kind"), F.col("path").alias("fileId"), capability("path").alias("callGraph"), *keep))
 
 
 def import_edges_of(arts: DataFrame, internal_only: bool = True) -> DataFrame:
@@ -70,14 +70,17 @@ def import_edges_of(arts: DataFrame, internal_only: bool = True) -> DataFrame:
     return (out.where(~ids.is_external("target")) if internal_only else out).withColumn("kind", F.lit("import"))
 
 
-def call_edges_of(arts: DataFrame) -> DataFrame:
-    """(source, target, kind): a call goes to the first import that brings in its name, in import and specifier order, else to the file's own entity of that name."""
-    calls = arts.select("path", F.inline("entities")).select("path", ids.entity_id("path", "name").alias("source"), F.explode("calls").alias("c")).select("path", "source", F.substring_index("c.name", ".", 1).alias("callee"))
-    specs = arts.select("path", F.posexplode("imports").alias("i", "imp")).select("path", "i", F.col("imp.source").alias("from"), F.posexplode("imp.names").alias("j", "n"))
-    specs = specs.select("path", F.coalesce("n.alias", "n.name").alias("callee"), F.col("n.name").alias("name"), import_target("path", "from").alias("file"), "i", "j").where(F.col("file").isNotNull())
-    first = specs.groupBy("path", "callee").agg(F.min_by(F.struct("file", "name"), F.struct("i", "j")).alias("hit"))
+def call_edges_of(arts: DataFrame, *keep: str) -> DataFrame:
+    """(source, target, kind, *keep): a call goes to the first import that brings in its name, in import and specifier order, else to the file's own entity of that name.
+
+    Where a path has several texts, a call sees only the imports of its own text.
+    """
+    calls = arts.select("path", "textHash", F.inline("entities")).select("path", "textHash", ids.entity_id("path", "name").alias("source"), F.explode("calls").alias("c")).select("path", "textHash", "source", F.substring_index("c.name", ".", 1).alias("callee"))
+    specs = arts.select("path", "textHash", F.posexplode("imports").alias("i", "imp")).select("path", "textHash", "i", F.col("imp.source").alias("from"), F.posexplode("imp.names").alias("j", "n"))
+    specs = specs.select("path", "textHash", F.coalesce("n.alias", "n.name").alias("callee"), F.col("n.name").alias("name"), import_target("path", "from").alias("file"), "i", "j").where(F.col("file").isNotNull())
+    first = specs.groupBy("path", "textHash", "callee").agg(F.min_by(F.struct("file", "name"), F.struct("i", "j")).alias("hit"))
     target = F.when(F.col("hit").isNotNull(), ids.entity_id("hit.file", "hit.name")).otherwise(ids.entity_id("path", "callee"))
-    return calls.join(first, ["path", "callee"], "left").select("source", target.alias("target"), F.lit("call").alias("kind"))
+    return calls.join(first, ["path", "textHash", "callee"], "left").select("source", target.alias("target"), F.lit("call").alias("kind"), *keep)
 
 
 def class_members(entities: DataFrame) -> DataFrame:

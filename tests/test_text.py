@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeweft.operators import review, store
+from codeweft.plans import text_queries
 from codeweft.sources import extract, files, resolve
 from codeweft.streaming import watch
 
@@ -162,3 +163,15 @@ def test_dom_sources_and_routes(spark, rows):
     assert rows(review.dom_sources(src)) == [("a", ".dataset.id"), ("b", "querySelector('z').textContent")]
     assert rows(review.dormant_routes(src)) == [("two",)]
     assert review.missing_notes(spark.createDataFrame([("D1", "issue-validated", " "), ("D2", "issue-validated", "why"), ("D3", "non-issue", None)], "id string, status string, note string")).count() == 1
+
+
+def test_every_text_of_a_path_is_parsed(spark, tmp_path, rows):
+    a, b = "import { h } from './lib';\nexport function f() { h(); }\n", "function g() { h(); }\n"
+    spark.createDataFrame([("p/a.ts", a), ("p/a.ts", b), ("p/a.ts", b), ("p/b.py", "def ("), ("p/b.py", "x = 1")], "path string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    at = str(tmp_path)
+    assert rows(text_queries.x1(spark, at), "path", "name") == [("p/a.ts", "f"), ("p/a.ts", "g")]
+    assert rows(text_queries.x5(spark, at), "language", "files", "texts", "errors", "entities") == [("python", 1, 2, 1, 0), ("typescript", 1, 2, 0, 2)]
+    assert rows(text_queries.x11(spark, at).where("kind <> 'file'"), "id") == [("p/a.ts::f",), ("p/a.ts::g",)]
+    assert text_queries.x11(spark, at).where("kind = 'file' and id = 'p/a.ts'").select("textHash").distinct().count() == 2
+    # the call of a text goes by the imports of that text
+    assert rows(text_queries.x13(spark, at), "source", "target") == [("p/a.ts::f", "p/lib.ts::h"), ("p/a.ts::g", "p/a.ts::h")]
