@@ -115,17 +115,18 @@ def _sources(s: S, d: str) -> D:
 
 
 READ = ["budget", "handler", "schema", "node", "severity", "payload"]
+OBJECTS, PAYLOADS = ("hit", "x"), ["string", "number", "usize"]
 READS = "(" + ", ".join(f"'{x}'" for x in READ) + ")"
 
 
 @R.add("r6_ambient_reads", f"SELECT DISTINCT fileId, name FROM (SELECT path AS fileId, unnest(regexp_extract_all(text, '\\b(?:hit|x)\\.([A-Za-z_$][\\w$]*)', 1)) AS name FROM documents WHERE path IS NOT NULL AND text IS NOT NULL) WHERE name IN {READS}")
 def r6(s: S, d: str) -> D:
-    return review.ambient(_sources(s, d), READ, ("hit", "x"))
+    return review.ambient(_sources(s, d), READ, OBJECTS)
 
 
 @R.add("r10_payload_owners", "SELECT type, count(*) AS files FROM (SELECT DISTINCT path, unnest(regexp_extract_all(text, '[\\w$]+\\s*:\\s*(string|number|usize)\\b', 1)) AS type FROM documents WHERE path IS NOT NULL AND text IS NOT NULL) GROUP BY type HAVING count(*) >= 2")
 def r10(s: S, d: str) -> D:
-    return review.payload_owners(_sources(s, d), ["string", "number", "usize"])
+    return review.payload_owners(_sources(s, d), PAYLOADS)
 
 
 @R.add(
@@ -167,12 +168,20 @@ def _findings(s: S, d: str) -> D:
     return cycles.unionByName(dup).unionByName(wide)
 
 
+def _signals(docs: D) -> D:
+    """(query, ref, note) of all scanners, over the objects and types of r6 and r10."""
+    row = lambda df, query, ref, note: df.select(F.lit(query).alias("query"), F.col(ref).alias("ref"), note.alias("note"))
+    out = review.text_signals(docs).unionByName(row(review.ambient(docs, READ, OBJECTS), "ambient", "fileId", F.col("name")))
+    out = out.unionByName(row(review.payload_owners(docs, PAYLOADS), "payload-owners", "type", F.concat("files", F.lit(" files"))))
+    out = out.unionByName(row(review.dormant_routes(docs), "routes", "name", F.lit("not registered")))
+    return out.unionByName(row(review.dom_sources(docs), "dom-source", "fileId", F.col("snippet")))
+
+
 @R.add("r2_checklist")
 def r2(s: S, d: str) -> D:
     """The whole checklist of a review of the repository; checked in its parts and by unit tests."""
     docs = _sources(s, d)
-    signals = review.text_signals(docs).unionByName(review.ambient(docs, READ, ("hit",)).select(F.lit("ambient").alias("query"), F.col("fileId").alias("ref"), F.col("name").alias("note")))
-    return review.recall(review.registry(s), _findings(s, d), signals)
+    return review.recall(review.registry(s), _findings(s, d), _signals(docs))
 
 
 @R.add("r14_unresolved", "SELECT id, place FROM (SELECT 'D' || x AS id, CAST(x - 1 AS INTEGER) AS place FROM range(2, 5) t(x)) WHERE NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey = place AND r_regionkey % 2 = 0)")

@@ -175,3 +175,15 @@ def test_every_text_of_a_path_is_parsed(spark, tmp_path, rows):
     assert text_queries.x11(spark, at).where("kind = 'file' and id = 'p/a.ts'").select("textHash").distinct().count() == 2
     # the call of a text goes by the imports of that text
     assert rows(text_queries.x13(spark, at), "source", "target") == [("p/a.ts::f", "p/lib.ts::h"), ("p/a.ts::g", "p/a.ts::h")]
+
+
+def test_checklist_has_every_scanner(spark, tmp_path, monkeypatch):
+    docs = [("a.ts", "type AppRoute = 'one' | 'two';\nregister('one'); x.budget; let n: string;"), ("b.ts", "hit.schema; el.dataset.id; const m: string = '';")]
+    spark.createDataFrame(docs, "path string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    none = spark.createDataFrame([], "query string, ref string, note string, files array<string>, keep boolean")
+    monkeypatch.setattr(text_queries, "_findings", lambda s, d: none)
+    got = {}
+    for r in text_queries.r2(spark, str(tmp_path)).where("not graphBlind").collect():
+        got.setdefault(r["item"], []).append((r["ref"], r["note"]))
+    assert got["FR1"] == [("string", "2 files")] and got["FD2"] == [("two", "not registered")] and got["FV1"] == [("b.ts", ".dataset.id")]
+    assert sorted(got["DEP3"]) == sorted(got["FB1"]) == [("a.ts", "budget"), ("b.ts", "schema")]
