@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions import ids
-from codeweft.operators import clones, graph, metrics, review, scc
+from codeweft.operators import clones, graph, metrics, review, scanners, scc
 from codeweft.plans.base import Register
 from codeweft.plans.graph_queries import EXACT, EXT, HUB_ROWS, HUBS, WIDTH, _width
 from codeweft.plans.tables import EXTS, edges, entities, files, graph_of, nodes, q_ancestors, q_external, q_file, q_folder, raw_nodes, sql
@@ -121,12 +121,12 @@ READS = "(" + ", ".join(f"'{x}'" for x in READ) + ")"
 
 @R.add("r6_ambient_reads", f"SELECT DISTINCT fileId, name FROM (SELECT path AS fileId, unnest(regexp_extract_all(text, '\\b(?:hit|x)\\.([A-Za-z_$][\\w$]*)', 1)) AS name FROM documents WHERE path IS NOT NULL AND text IS NOT NULL) WHERE name IN {READS}")
 def r6(s: S, d: str) -> D:
-    return review.ambient(_sources(s, d), READ, OBJECTS)
+    return scanners.ambient(_sources(s, d), READ, OBJECTS)
 
 
 @R.add("r10_payload_owners", "SELECT type, count(*) AS files FROM (SELECT DISTINCT path, unnest(regexp_extract_all(text, '[\\w$]+\\s*:\\s*(string|number|usize)\\b', 1)) AS type FROM documents WHERE path IS NOT NULL AND text IS NOT NULL) GROUP BY type HAVING count(*) >= 2")
 def r10(s: S, d: str) -> D:
-    return review.payload_owners(_sources(s, d), PAYLOADS)
+    return scanners.payload_owners(_sources(s, d), PAYLOADS)
 
 
 @R.add(
@@ -134,19 +134,19 @@ def r10(s: S, d: str) -> D:
     "SELECT DISTINCT name FROM (SELECT unnest(regexp_extract_all(text, 'function (\\w+)', 1)) AS name FROM documents WHERE path IS NOT NULL) WHERE name NOT IN (SELECT unnest(regexp_extract_all(text, '= (\\w+)\\(', 1)) FROM documents WHERE path IS NOT NULL AND text IS NOT NULL)",
 )
 def r11(s: S, d: str) -> D:
-    return review.unregistered(_sources(s, d), r"function (\w+)", r"= (\w+)\(")
+    return scanners.unregistered(_sources(s, d), r"function (\w+)", r"= (\w+)\(")
 
 
 @R.add("r5_text_signals")
 def r5(s: S, d: str) -> D:
-    """Lifecycle, transport and wide declarations over all source texts; the scanners follow braces, so tests pin them."""
-    return review.text_signals(_sources(s, d))
+    """Lifecycle, transport and wide declarations over all source texts; the lexer follows braces, so tests pin them."""
+    return scanners.text_signals(scanners.text_events(_sources(s, d)))
 
 
 @R.add("r7_dom_sources")
 def r7(s: S, d: str) -> D:
-    """The first read from the page in each file; DuckDB has no position of a pattern, so tests pin it."""
-    return review.dom_sources(_sources(s, d))
+    """The first read from the page in each text, by the lexer's events; tests pin it."""
+    return scanners.dom_sources(scanners.text_events(_sources(s, d)))
 
 
 @R.add("r1_registry")
@@ -171,10 +171,11 @@ def _findings(s: S, d: str) -> D:
 def _signals(docs: D) -> D:
     """(query, ref, note) of all scanners, over the objects and types of r6 and r10."""
     row = lambda df, query, ref, note: df.select(F.lit(query).alias("query"), F.col(ref).alias("ref"), note.alias("note"))
-    out = review.text_signals(docs).unionByName(row(review.ambient(docs, READ, OBJECTS), "ambient", "fileId", F.col("name")))
-    out = out.unionByName(row(review.payload_owners(docs, PAYLOADS), "payload-owners", "type", F.concat("files", F.lit(" files"))))
-    out = out.unionByName(row(review.dormant_routes(docs), "routes", "name", F.lit("not registered")))
-    return out.unionByName(row(review.dom_sources(docs), "dom-source", "fileId", F.col("snippet")))
+    events = staged(scanners.text_events(docs))
+    out = scanners.text_signals(events).unionByName(row(scanners.ambient(docs, READ, OBJECTS), "ambient", "fileId", F.col("name")))
+    out = out.unionByName(row(scanners.payload_owners(docs, PAYLOADS), "payload-owners", "type", F.concat("files", F.lit(" files"))))
+    out = out.unionByName(row(scanners.dormant_routes(docs), "routes", "name", F.lit("not registered")))
+    return out.unionByName(row(scanners.dom_sources(events), "dom-source", "fileId", F.col("snippet")))
 
 
 @R.add("r2_checklist")

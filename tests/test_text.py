@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from codeweft.operators import review, store
+from codeweft.operators import review, scanners, store
 from codeweft.plans import text_queries
 from codeweft.sources import extract, files, resolve
 from codeweft.streaming import watch
@@ -119,13 +119,25 @@ def test_ignore_and_documents(spark, rows):
     assert rows(files.document_folders(docs, "docs")) == [(".",), ("src/a",)]
 
 
-def test_scanners():
-    t = "class P {\n  open() { a.on('x'); b.addEventListener('y', f); }\n  close() { a.off('x'); }\n}\nfunction q() { w.subscribe(z); w.unsubscribe(z); }\n"
-    assert review.listener_balance(t) == [("P.open", 2, 0)]
-    assert [s[0] for s in review.entity_spans(t)] == ["P.open", "P.close", "P", "q"]
-    assert review.transport_sink("function h(m: any) { window.postMessage(m); }") == ("h", True, False) and review.transport_sink("x") is None
-    body = "interface W {\n" + "".join(f"  f{i}{'?' if i < 3 else ''}: {{ a: 1, b: 2 }};\n" for i in range(5)) + "}\ntype N = { a: string }\n"
-    assert review.wide_declarations(body) == [("W", 5, 3)]
+def test_blocks():
+    t = "class P {\n  open() { a.on('x'); }\n  static async close(a: {b: 1}) { if (x) { y(); } }\n}\nfunction q() { return '}'; } // {\nconst f = () => { z(); };\nexport default interface I { a: 1 }\n"
+    assert [b[0] for b in scanners.blocks_of(t)] == ["P.open", "P.close", "P", "q", "I"]
+    name, a, b = next(x for x in scanners.blocks_of(t) if x[0] == "P")
+    assert t[a:b].startswith("class P {") and t[a:b].endswith("}\n}")
+    assert list(scanners.blocks_of("")) == [] and list(scanners.blocks_of("}}{{ class")) == [] and scanners.events_of("'unclosed { ` /*") == []
+
+
+def test_scanners(spark, rows):
+    a = "class P {\n  open() { a.on('x'); b.addEventListener('y', f); }\n  close() { a.off('x'); }\n}\nfunction q() { w.subscribe(z); unsubscribe(); }\nbus.watch(1); // bus.watch(2)\n"
+    b = "function h(m: any) { window.postMessage(m); }\nfunction g(m) { x.onmessage = safeParse(m); }"
+    wide = "interface W {\n" + "".join(f"  f{i}{'?' if i < 3 else ''}: {{ a: 1, b: 2 }};\n" for i in range(5)) + "}\ntype N = { a: string }\nexport type L = {\n  readonly a: Map<string, number>,\n  'b': () => void\n  [k: string]: any; m(x: 1): void; n<T>(y: T): T\n  o: 1; p: 2 }\n"
+    src = spark.createDataFrame([("a", a), ("a", a), ("b", b), ("c", wide), ("d", "w.addEventListener('message', f)"), (None, a), ("e", None), ("f", "")], "fileId string, text string")
+    ev = scanners.text_events(src)
+    assert rows(scanners.listener_balance(ev)) == [("a", "P.open", 2, 0), ("a", None, 1, 0), ("d", None, 1, 0)]
+    assert rows(scanners.transport_sinks(ev)) == [("b", "h", True, True), ("d", None, False, False)]
+    assert rows(scanners.wide_declarations(ev)) == [("c", "L", 7, 0), ("c", "W", 5, 3)]
+    got = rows(scanners.text_signals(ev))
+    assert ("lifecycle", "a::P.open", "2 registered, 0 released") in got and ("transport", "b::h", "untyped=true checked=true") in got and ("interface-decl", "c:W", "5 members, 3 optional") in got and len(got) == 9
 
 
 def test_recall_gates_and_cap(spark):
@@ -160,8 +172,8 @@ def test_dom_sources_and_routes(spark, rows):
     src = spark.createDataFrame(
         [("a", "x.dataset.id; y.getAttribute('k')"), ("b", "q.querySelector('z').textContent + w.getAttribute('k')"), ("c", "none"), ("d", "type PageView = 'one' | 'two';\nregisterView('one')")], "fileId string, text string"
     )
-    assert rows(review.dom_sources(src)) == [("a", ".dataset.id"), ("b", "querySelector('z').textContent")]
-    assert rows(review.dormant_routes(src)) == [("two",)]
+    assert rows(scanners.dom_sources(scanners.text_events(src))) == [("a", ".dataset.id"), ("b", "querySelector('z').textContent")]
+    assert rows(scanners.dormant_routes(src)) == [("two",)]
     assert review.missing_notes(spark.createDataFrame([("D1", "issue-validated", " "), ("D2", "issue-validated", "why"), ("D3", "non-issue", None)], "id string, status string, note string")).count() == 1
 
 
