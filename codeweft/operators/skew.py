@@ -9,6 +9,7 @@ What the driver sees is bounded by the number of tasks: at most two heavy keys a
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,20 +46,25 @@ def _bucket(keys: tuple[str, ...], n: int) -> Column:
 
 
 def plan_fragments(df: DataFrame, keys: list[str] | str, tasks: int | None = None) -> FragmentPlan:
-    """Counts the load of every key of df and packs keys to tasks. Rows with a null in the key have no load."""
+    """Counts the load of every key of df and packs keys to tasks. Rows with a null in the key have no load.
+
+    df is read once: the loads are combined before they move, and their sum comes from the same exchange.
+    """
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
     tasks = tasks or parallelism(df.sparkSession)
     n = BUCKETS_PER_TASK * tasks
     has_key = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
     loads = df.where(has_key).groupBy(*keys).agg(F.count(F.lit(1)).alias("__load"))
-    total = df.where(has_key).agg(F.count(F.lit(1))).first()[0]
-    fair = max(1.0, total / tasks)
-    heavy = F.col("__load") * 2 > fair
+    all_loads = loads.agg(F.coalesce(F.sum("__load"), F.lit(0)).alias("__total"))
+    heavy = F.col("__load") * 2 > F.greatest(F.lit(1.0), F.col("__total") / tasks)
     rows = (
-        loads.groupBy(*(F.when(heavy, F.col(k)).alias(f"__k{i}") for i, k in enumerate(keys)), F.when(heavy, F.lit(-1).cast("long")).otherwise(_bucket(keys, n)).alias(BUCKET))
+        loads.crossJoin(F.broadcast(all_loads))  # one row
+        .groupBy(*(F.when(heavy, F.col(k)).alias(f"__k{i}") for i, k in enumerate(keys)), F.when(heavy, F.lit(-1).cast("long")).otherwise(_bucket(keys, n)).alias(BUCKET))
         .agg(F.sum("__load").alias("__load"))
         .collect()
     )
+    total = sum(r["__load"] for r in rows)
+    fair = max(1.0, total / tasks)
     heavies = sorted(((tuple(r)[: len(keys)], r["__load"]) for r in rows if r[BUCKET] < 0), key=lambda x: (-x[1], str(x[0])))
     by_bucket = {r[BUCKET]: r["__load"] for r in rows if r[BUCKET] >= 0}
     heap = [(0.0, t) for t in range(tasks)]
@@ -143,23 +149,23 @@ def hot_hashes(df: DataFrame, keys: list[str], tasks: int | None = None) -> list
     return sorted(r["h"] for r in counts.where(F.col("n") > least).collect())
 
 
-def fragment_counts(df: DataFrame, key: str, plan: FragmentPlan | None = None) -> DataFrame:
-    """(key, rows): counted per key and shard first, then merged over the few shards. Null keys give no row; a key may not be named rows."""
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """(key, rows) of every key. A count is combined before it moves, so a hot key arrives as one row a task and needs no plan. Null keys give no row; a key may not be named rows."""
     if key == "rows":
         raise ValueError("the key's name is taken by the count")
-    plan = plan or plan_fragments(df, key)
-    parts = fragment(df.select(key).where(F.col(key).isNotNull()), plan).groupBy(TASK, key).agg(F.count(F.lit(1)).alias("rows"))
-    return parts.groupBy(key).agg(F.sum("rows").alias("rows"))
+    return df.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def heavy_keys(df: DataFrame, key: str, share: float, tasks: int | None = None) -> DataFrame:
-    """(key, rows) of every key that stands on at least this share of all rows, rows with a null key included in the whole.
+def heavy_keys(df: DataFrame, key: str, share: float, tasks: int | None = None, total: int | None = None) -> DataFrame:
+    """(key, rows) of every key that stands on at least this share of all rows (total), rows with a null key included in the whole.
 
-    A key with a share of s is heavier than half a task whenever there are over 1 / (2 s) tasks, so it is one of the plan's
-    heavy keys; with fewer tasks all counts are merged. An empty table gives no row.
+    They are read off the plan, whose loads are exact: a key with a share of s is heavier than half a task where there are
+    over 1 / (2 s) tasks, so the plan is made for at least that many. Fewer than 1 / s keys come out. An empty table gives no row.
     """
-    total = df.count()
-    return fragment_counts(df, key, plan_fragments(df, key, tasks)).where(F.col("rows") >= share * F.lit(total)).where(F.lit(total) > 0)
+    total = df.count() if total is None else total
+    plan = plan_fragments(df, key, max(tasks or parallelism(df.sparkSession), math.ceil(0.5 / share) + 1))
+    rows = [(k[0], n) for k, n, _ in plan.heavy if n >= share * total]
+    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("rows", T.LongType())]))
 
 
 def skew_report(df: DataFrame, key: str, tasks: int | None = None) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import ids
 from codeweft.operators.orphans import orphan_references
-from codeweft.operators.skew import fragment_counts, fragment_join, heavy_keys, plan_fragments, skew_report
+from codeweft.operators.skew import fragment_join, heavy_keys, key_counts, plan_fragments, skew_report
 from codeweft.operators.snapshot_diff import graph_snapshot_changes
 from codeweft.plans.base import Register
-from codeweft.session import table
+from codeweft.session import staged, table
 
 R = Register()
 EXTS = "'.ts','.tsx','.js','.jsx','.py','.c','.h','.cpp','.hpp','.cc','.cxx','.hxx','.rs','.r'"
@@ -73,13 +73,14 @@ SELECT 'source', source FROM e WHERE source IS NOT NULL GROUP BY source HAVING c
 @R.add("p4_found", P4)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d)
-    sides = [heavy_keys(e.select(c), c, HEAVY_SHARE).select(F.lit(c).alias("side"), F.col(c).alias("id")) for c in ("target", "source")]
+    total = e.count()
+    sides = [heavy_keys(e.select(c), c, HEAVY_SHARE, total=total).select(F.lit(c).alias("side"), F.col(c).alias("id")) for c in ("target", "source")]
     return sides[0].unionByName(sides[1])
 
 
 def _per_key(spark: SparkSession, d: str, key: str, other: str) -> DataFrame:
     """Rows, distinct partners and the node behind every key; repeated pairs are merged before anything moves by key."""
-    pairs = _edges(spark, d).where(F.col(key).isNotNull()).groupBy(key, other).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("kind") == "call", 1)).alias("calls"))
+    pairs = staged(_edges(spark, d).where(F.col(key).isNotNull()).groupBy(key, other).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("kind") == "call", 1)).alias("calls")))
     nodes = table(spark, d, "node_entry").unionByName(table(spark, d, "shared_node"), allowMissingColumns=True)
     about = nodes.where(F.col("id").isNotNull()).groupBy(ids.normalised("id").alias(key)).agg(F.min("kind").alias("node_kind"))
     joined = fragment_join(pairs, about, key, "left", plan_fragments(pairs, key))
@@ -107,7 +108,7 @@ def p4_fan_out(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("p4_counts", r"SELECT replace(target, '\', '/') AS target, count(*) AS rows FROM edge_entry WHERE target IS NOT NULL GROUP BY 1")
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
-    return fragment_counts(_edges(spark, d).select("target"), "target")
+    return key_counts(_edges(spark, d), "target")
 
 
 @R.add("p4_task_loads")

@@ -31,14 +31,16 @@ def test_rows_reach_their_task_and_partition_loads_match(spark):
 
 def test_counts_equal_plain_counts_with_nulls_repeats_and_ties(spark, rows):
     keys = ["a"] * 50 + ["b"] * 50 + [None] * 7 + [""] * 3 + ["c"]
-    assert rows(skew.fragment_counts(frame(spark, keys), "k", skew.plan_fragments(frame(spark, keys), "k", 4))) == sorted(((k, n) for k, n in Counter(k for k in keys if k is not None).items()), key=str)
+    assert rows(skew.key_counts(frame(spark, keys), "k")) == sorted(((k, n) for k, n in Counter(k for k in keys if k is not None).items()), key=str)
 
 
 def test_heavy_keys_count_all_rows(spark, rows):
     keys = ["a"] * 3 + [None] * 97 + ["b"]
     df = frame(spark, keys)
     assert rows(skew.heavy_keys(df, "k", 0.02)) == [("a", 3)]
-    assert rows(skew.heavy_keys(df.where("k = 'zz'"), "k", 0.02)) == []
+    assert rows(skew.heavy_keys(df.where("k = 'zz'"), "k", 0.02)) == [] and rows(skew.heavy_keys(df.where("k is null"), "k", 0.02)) == []
+    many = frame(spark, [f"k{i % 40}" for i in range(400)] + ["one"] * 7)
+    assert len(rows(skew.heavy_keys(many, "k", 0.02, tasks=2))) == 40
 
 
 def test_join_equals_plain_join_with_clashing_columns(spark, rows):
