@@ -1,9 +1,10 @@
 """All similar pairs between set-valued records, by a sorted sketch forest.
 
-Each distinct set gets minhash signatures in many independent trees; a tree orders the signatures lexicographically. Records
-that share a common prefix of at least the base depth are neighbours. The base depth is the deepest at which the trees still
-reach the target recall at the threshold. A neighbourhood of more than MAX_NEIGHBOURS records goes deeper, one hash at a
-time; at full depth the rest is compared whole, in blocks. A record for which deepening costs so much that its
+Each distinct set gets minhash signatures in many independent trees; a tree is the list of all signatures in lexicographic
+order. Records with a common prefix of at least the base depth are neighbours and lie next to each other; the base depth is the
+deepest at which the trees still reach the target recall at the threshold. One pass over the sorted rows compares
+neighbourhoods; one of more than MAX_NEIGHBOURS records is left for the longer prefixes inside it, one hash deeper at a time.
+At full depth the rest is compared whole, in blocks. A record for which deepening costs so much that its
 recall would fall under the target is compared exactly, by its rarest elements, against all. Every candidate is verified on
 the exact sets.
 
@@ -18,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.session import staged
+from codeweft.operators.skew import fragment_join
+from codeweft.session import small, staged
 
 TREES, TARGET_RECALL, EXTRA_LEVELS, MAX_NEIGHBOURS = 40, 0.9999, 3, 256
 
@@ -61,7 +63,7 @@ def _signer(trees: int, depth: int, seed: int):
                         if j < depth:
                             key = _mix(key * np.uint64(31) + low)
                         else:
-                            deep |= (low & np.uint64(0xFFFF)) << np.uint64(16 * (j - depth + 1))
+                            deep |= (low & np.uint64(0xFFFF)) << np.uint64(16 * (EXTRA_LEVELS - (j - depth)))
                     keys.append(key.view(np.int64))
                     deeps.append(deep.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(deeps)), pa.array(np.tile(cls, trees))], names=["key", "deep", "cls"])
@@ -99,13 +101,120 @@ def _near(threshold: float):
     return ok
 
 
-def _within(groups: DataFrame, threshold: float) -> DataFrame:
-    """Pairs inside neighbourhoods of bounded size."""
-    near = _near(threshold)
-    lists = groups.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cls", "deep"))).alias("m"))
-    one = lists.select("m", F.posexplode("m").alias("i", "a")).where(F.col("i") + 1 < F.size("m"))
-    two = one.select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
-    return _unordered(two.where(near(F.col("a.deep"), F.col("b.deep"))).select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")))
+PAIR, RESOLVED, CROWD = 0, 1, 2
+FOUND = "kind int, a long, b long, c long"
+
+
+class Tree:
+    """The pass over rows sorted by (key, deep): pairs inside neighbourhoods, with no more than one of them held at a time.
+
+    Gives rows (kind, a, b, c): PAIR of classes a and b; RESOLVED for class a, compared at b levels below the base depth; CROWD for
+    class b with deep c in a neighbourhood a that is too large at full depth.
+    """
+
+    def __init__(self, threshold: float, most: int = MAX_NEIGHBOURS) -> None:
+        self.threshold, self.most = threshold, most
+        self.rows = tuple(np.empty(0, np.int64) for _ in range(3))
+        self.large = 0  # levels at which the neighbourhood of the last row is known to be too large
+
+    def feed(self, key: np.ndarray, deep: np.ndarray, cls: np.ndarray, last: bool = False) -> list[np.ndarray]:
+        self.key, self.deep, self.cls = (np.concatenate(x) for x in zip(self.rows, (key, deep, cls)))
+        n, self.out, self.small, self.keep, large = len(self.key), [], [], None, self.large
+        if not n:
+            return []
+        # neighbourhoods at the base depth; only the first, the last and the large ones need a closer look
+        starts = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1])))
+        ends = np.append(starts[1:], n)
+        size = ends - starts
+        plain = size <= self.most
+        plain[-1] &= last
+        if large and self.mark_key == self.key[0]:
+            plain[0] = False
+        self.large = 0
+        self._compare(starts[plain], ends[plain], 0)
+        for i in np.flatnonzero(~plain):
+            same = large if i == 0 and large and self.mark_key == self.key[0] else 0
+            self._deepen(starts[i], ends[i], 0, i == len(starts) - 1 and not last, same)
+        if self.keep is None:
+            self.keep = n
+        self.mark_key, self.mark_deep = self.key[-1], self.deep[-1]
+        self.rows = (self.key[self.keep :], self.deep[self.keep :], self.cls[self.keep :])
+        return self.out
+
+    def _deepen(self, lo: int, hi: int, level: int, going_on: bool, same: int) -> None:
+        """Rows lo to hi share their prefix down to level; going_on: more may follow. same: levels known to be large from earlier rows."""
+        if hi - lo <= self.most and not same:
+            if going_on:
+                self.keep = lo
+            else:
+                self._compare(np.array([lo]), np.array([hi]), level)
+            return
+        if going_on:
+            self.large = level + 1
+        if level == EXTRA_LEVELS:
+            crowd = _hashed(self.key[lo:hi], self.deep[lo:hi])
+            self.out.append(np.stack([np.full(hi - lo, CROWD), crowd, self.cls[lo:hi], self.deep[lo:hi]]))
+            self.out.append(np.stack([np.full(hi - lo, RESOLVED), self.cls[lo:hi], np.full(hi - lo, level), np.zeros(hi - lo, np.int64)]))
+            return
+        part = self.deep[lo:hi] >> (16 * (EXTRA_LEVELS - level))
+        cuts = lo + np.flatnonzero(part[1:] != part[:-1]) + 1
+        starts, ends = np.concatenate(([lo], cuts)), np.append(cuts, hi)
+        follows = same > level + 1 and (self.mark_deep >> (16 * (EXTRA_LEVELS - level))) == part[0]
+        plain = ends - starts <= self.most
+        plain[-1] &= not going_on
+        plain[0] &= not follows
+        self._compare(starts[plain], ends[plain], level + 1)
+        for i in np.flatnonzero(~plain):
+            self._deepen(starts[i], ends[i], level + 1, going_on and i == len(starts) - 1, same if i == 0 and follows else 0)
+
+    def _compare(self, starts: np.ndarray, ends: np.ndarray, level: int) -> None:
+        """All pairs inside neighbourhoods of bounded size whose sizes can meet the threshold."""
+        length = ends - starts
+        if level:
+            at = np.repeat(starts, length) + _counted(length)
+            self.out.append(np.stack([np.full(len(at), RESOLVED), self.cls[at], np.full(len(at), level), np.zeros(len(at), np.int64)]))
+        starts, ends = starts[length > 1], ends[length > 1]
+        at, room = np.repeat(starts, ends - starts), np.repeat(ends, ends - starts)
+        at = at + _counted(ends - starts)
+        size = self.deep & 0xFFFF
+        step = 1
+        while len(at):
+            fits = at + step < room
+            at, room = at[fits], room[fits]
+            i, j = at, at + step
+            x, y = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            ok = ((y == 0xFFFF) | (x >= y * self.threshold - 1e-9)) & (self.cls[i] != self.cls[j])
+            a, b = self.cls[i[ok]], self.cls[j[ok]]
+            if len(a):
+                self.out.append(np.stack([np.full(len(a), PAIR), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)]))
+            step += 1
+
+
+def _counted(length: np.ndarray) -> np.ndarray:
+    """0, 1, .. up to each length, one after the other."""
+    return np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+
+
+def _hashed(key: np.ndarray, deep: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(key.view(np.uint64) * np.uint64(31) + (deep.view(np.uint64) >> np.uint64(16))).view(np.int64)
+
+
+def _pass(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Tree(threshold)
+        none = np.empty(0, np.int64)
+
+        def rows(out: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if out:
+                k, a, b, c = np.concatenate(out, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(a), pa.array(b), pa.array(c)], names=["kind", "a", "b", "c"])
+
+        for batch in batches:
+            yield from rows(tree.feed(*(batch.column(c).to_numpy() for c in ("key", "deep", "cls"))))
+        yield from rows(tree.feed(none, none, none, last=True))
+
+    return run
 
 
 def _blocked(rows: DataFrame, threshold: float) -> DataFrame:
@@ -118,16 +227,19 @@ def _blocked(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _by_rarest(sets: DataFrame, few: DataFrame, threshold: float) -> DataFrame:
-    """Exact candidates of few classes against all: sets that are similar enough share one of their rarest elements."""
+    """Exact candidates of few classes against all: sets that are similar enough share one of their rarest elements.
+
+    Elements that very many sets hold are split over tasks.
+    """
     items = sets.select("cls", "size", F.explode("set").alias("x"))
     seen = items.groupBy("x").agg(F.count(F.lit(1)).alias("f"))
-    ranked = items.join(seen, "x").groupBy("cls", "size").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("r"))
+    ranked = fragment_join(items, seen, "x", "inner").groupBy("cls", "size").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("r"))
     keep = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    rare = ranked.select("cls", "size", F.explode(F.slice("r", F.lit(1), keep)).alias("r")).select("cls", "size", F.col("r.x").alias("x"))
+    rare = staged(ranked.select("cls", "size", F.explode(F.slice("r", F.lit(1), keep)).alias("r")).select("cls", "size", F.col("r.x").alias("x")))
     a = rare.join(few, "cls", "left_semi").select("x", F.col("cls").alias("cls_a"), F.col("size").alias("size_a"))
     b = rare.select("x", F.col("cls").alias("cls_b"), F.col("size").alias("size_b"))
     fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
-    return _unordered(a.join(b, "x").where(fits))
+    return _unordered(fragment_join(b, a, "x", "inner").where(fits))
 
 
 def similar_sets(records: DataFrame, threshold: float, trees: int = TREES, recall: float = TARGET_RECALL, seed: int = 42) -> SimilarSets:
@@ -139,31 +251,22 @@ def similar_sets(records: DataFrame, threshold: float, trees: int = TREES, recal
     depth = base_depth(threshold, trees, recall)
     records = staged(records.withColumn("cls", F.xxhash64("set")))
     sets = staged(records.groupBy("cls", "set").agg(F.size("set").alias("size")).select("cls", "set", "size"))
-    rows = sets.select("cls", "set").mapInArrow(_signer(trees, depth, seed), "key long, deep long, cls long")
-    candidates, deepened = [], []
-    for level in range(EXTRA_LEVELS + 1):
-        counted = staged(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where(F.col("n") > 1))
-        candidates.append(_within(counted.where(F.col("n") <= MAX_NEIGHBOURS), threshold))
-        large = counted.where(F.col("n") > MAX_NEIGHBOURS)
-        if large.isEmpty():
-            break
-        if level == EXTRA_LEVELS:
-            candidates.append(_blocked(large, threshold))
-            break
-        deepened.append(large.select("cls", F.lit(_loss(threshold, depth + level)).alias("loss")))
-        rows = large.select(F.xxhash64("key", F.shiftrightunsigned("deep", 16 * (level + 1)).bitwiseAND(F.lit(0xFFFF))).alias("key"), "deep", "cls")
-    if deepened:
-        loss = deepened[0]
-        for more in deepened[1:]:
-            loss = loss.unionByName(more)
-        spare = math.log(1 - recall) - trees * math.log(1 - threshold**depth)
-        few = staged(loss.groupBy("cls").agg(F.sum("loss").alias("loss")).where(F.col("loss") > spare).select("cls"))
-        if not few.isEmpty():
-            candidates.append(_by_rarest(sets, few, threshold))
-    found = candidates[0]
-    for more in candidates[1:]:
-        found = found.unionByName(more)
-    return SimilarSets(records.select("id", "side", "cls"), sets, verified(found.distinct(), sets, threshold))
+    signed = sets.select("cls", "set").mapInArrow(_signer(trees, depth, seed), "key long, deep long, cls long")
+    # a neighbourhood lies in one partition, in order
+    found = staged(signed.repartition("key").sortWithinPartitions("key", "deep").mapInArrow(_pass(threshold), FOUND))
+    candidates = found.where(F.col("kind") == PAIR).select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b"))
+    crowd = found.where(F.col("kind") == CROWD)
+    if not crowd.isEmpty():
+        n = crowd.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        rows = crowd.join(small(n), "a").select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("c").alias("deep"), "n")
+        candidates = candidates.unionByName(_blocked(rows, threshold))
+    # every level costs a tree's share of the recall
+    losses = F.element_at(F.array(*(F.lit(sum(_loss(threshold, depth + i) for i in range(level + 1))) for level in range(EXTRA_LEVELS))), F.col("b").cast("int"))
+    spare = math.log(1 - recall) - trees * math.log(1 - threshold**depth)
+    few = staged(found.where(F.col("kind") == RESOLVED).groupBy(F.col("a").alias("cls")).agg(F.sum(losses).alias("loss")).where(F.col("loss") > spare).select("cls"))
+    if not few.isEmpty():
+        candidates = candidates.unionByName(_by_rarest(sets, few, threshold))
+    return SimilarSets(records.select("id", "side", "cls"), sets, verified(candidates.distinct(), sets, threshold))
 
 
 def _loss(threshold: float, depth: int) -> float:
