@@ -4,30 +4,30 @@ Sizes are tokens of a public tokenizer. Every source wants its share of the tota
 repeated at most its cap is clamped there, and the rest is shared out by weight among the others, until nothing is clamped
 any more. A source's records are then taken a whole number of times, and a seeded part of them once more, so that the sizes
 add up: records are ordered by a seeded hash, and the cut is found by two levels of histograms, never by sorting a source.
+Sources and bins stay tables; nothing of them is gathered on the driver.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.session import staged
+from codeweft.session import small, staged
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's way to cut text into pieces before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BINS = 4096
-#: A mix has few sources; beyond so many the plan would not fit the driver.
-MAX_SOURCES = 100_000
-#: Characters after which a text is cut for the tokenizer, at the next white space if there is one nearby.
+#: Characters after which a text is cut for the tokenizer, at the next place that is a border in any case.
 PIECE = 20_000
 
-_gap = re.compile(r"(?<=\S) (?=\S)")
+#: After the last letter, or the last digit, of a row, and between a sign and white space, the vocabulary's pattern always begins anew.
+_border = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}])(?=\s)")
 _encoders: dict[str, object] = {}
 
 
@@ -42,13 +42,11 @@ def _encoder(vocabulary: str):
 
 
 def pieces(text: str) -> Iterator[str]:
-    """The text in parts of about PIECE characters, cut before a single space, which leaves the tokens as they are; a run without one is cut where it is."""
+    """The text in parts of at least PIECE characters, cut only where the tokens stay as they are; a row without such a place stays whole."""
     i = 0
-    while len(text) - i > PIECE:
-        gap = _gap.search(text, i + PIECE, i + 2 * PIECE)
-        at = gap.start() if gap else i + 2 * PIECE
-        yield text[i:at]
-        i = at
+    while len(text) - i > PIECE and (border := _border.search(text, i + PIECE)):
+        yield text[i : border.start()]
+        i = border.start()
     yield text[i:]
 
 
@@ -75,23 +73,25 @@ def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     return rows.mapInArrow(size, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, source string, tokens long")
 
 
-def water_fill(weights: dict[str, float], capacity: dict[str, float], total: float) -> dict[str, float]:
-    """The size each source gives: in proportion to the weights, none above its capacity, together total if that is feasible."""
-    got: dict[str, float] = {}
-    free = {s: w for s, w in weights.items() if w > 0}
-    left = total
-    while free:
-        whole = sum(free.values())
-        over = [s for s, w in free.items() if left * (w / whole) >= capacity.get(s, 0)]
-        if not over:
-            got |= {s: left * (w / whole) for s, w in free.items()}
-            break
-        for s in sorted(over):
-            got[s] = capacity.get(s, 0)
-            left -= got[s]
-            del free[s]
-        left = max(left, 0.0)
-    return {s: got.get(s, 0.0) for s in weights}
+def water_fill(sources: DataFrame, total: Column) -> DataFrame:
+    """sources with give: the size each one gives, in proportion to its share, none above its capacity, together total if that is feasible.
+
+    sources: source, share, capacity and further columns. In the order of capacity by share, the sources up to some place are
+    clamped, and the level of the others is what is left by the shares left; the first source that lies above its level is that
+    place. The window runs over one row a source.
+    """
+    w = Window.orderBy("__ratio", "source").rowsBetween(Window.unboundedPreceding, -1)
+    first = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    taking = F.col("share") > 0
+    s = sources.withColumn("__ratio", F.when(taking, F.col("capacity") / F.col("share"))).withColumn("__total", total.cast("double"))
+    over = lambda c, frame: F.coalesce(F.sum(F.when(taking, F.col(c))).over(frame), F.lit(0.0))
+    s = s.withColumn("__left", F.col("__total") - over("capacity", w)).withColumn("__shares", over("share", first) - over("share", w))
+    s = s.withColumn("__level", F.when(taking & (F.col("__shares") > 0), F.greatest(F.col("__left"), F.lit(0.0)) / F.col("__shares")))
+    open_ = F.when(taking & (F.col("__ratio") > F.col("__level")), F.struct("__ratio", "source", "__level"))
+    s = s.withColumn("__first", F.min(open_).over(first))
+    below = F.col("__first").isNull() | (F.struct("__ratio", "source") < F.struct("__first.__ratio", "__first.source"))
+    give = F.when(~taking, 0.0).when(below, F.col("capacity")).otherwise(F.least(F.col("capacity"), F.col("__first.__level") * F.col("share")))
+    return s.withColumn("give", give).drop("__ratio", "__total", "__left", "__shares", "__level", "__first")
 
 
 def _place(seed: int) -> tuple[Column, Column]:
@@ -107,66 +107,40 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     the targets' sources. Records of other sources or without one take no part; empty texts have no size and are left out.
     Every row is a record of its own, but rows of one doc_id are drawn together.
     """
-    spark = docs.sparkSession
     t = targets.select(source_name("source").alias("source"), "target_share", "max_repeats").where((F.col("source").isNotNull()) & (F.col("target_share") >= 0) & (F.col("max_repeats") >= 0))
-    wanted = t.groupBy("source").agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("cap")).limit(MAX_SOURCES + 1).collect()
-    if len(wanted) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    names = spark.createDataFrame([(r["source"],) for r in wanted], "source string")
-    sizes = staged(token_sizes(docs, vocabulary=vocabulary, **columns).join(F.broadcast(names), "source", "left_semi").where(F.col("tokens") > 0).select("doc_id", "source", "tokens"))
-    have = {r["source"]: (r["docs"], r["tokens"]) for r in sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")).collect()}
-    size = {r["source"]: have.get(r["source"], (0, 0))[1] for r in wanted}
-    capacity = {r["source"]: float(size[r["source"]] * r["cap"]) for r in wanted}
-    total = float(sum(size.values()) if total is None else total)
-    give = water_fill({r["source"]: r["share"] for r in wanted}, capacity, total)
-
+    wanted = staged(t.groupBy("source").agg(F.sum("target_share").alias("share"), F.min("max_repeats").cast("int").alias("cap")))
+    sizes = staged(token_sizes(docs, vocabulary=vocabulary, **columns).join(small(wanted.select("source")), "source", "left_semi").where(F.col("tokens") > 0).select("doc_id", "source", "tokens"))
     first, second = _place(seed)
     binned = sizes.withColumn("b1", first).withColumn("b2", second)
-    whole, part = {}, {}
-    for s, n in size.items():
-        whole[s] = int(give[s] // n) if n else 0
-        part[s] = give[s] - whole[s] * n
-    bins: dict[str, dict[int, int]] = {}
-    for r in binned.groupBy("source", "b1").agg(F.sum("tokens").alias("n")).collect():  # at most BINS rows a source
-        bins.setdefault(r["source"], {})[r["b1"]] = r["n"]
-    cut: dict[str, tuple[int, float]] = {}
-    for s in size:
-        left, at = part[s], 0
-        for b in range(BINS):
-            n = bins.get(s, {}).get(b, 0)
-            if n > left:
-                break
-            left -= n
-            at = b + 1
-        cut[s] = (at, left)
-    edge = spark.createDataFrame([(s, at) for s, (at, _) in cut.items()], "source string, b1 int")
-    fine: dict[str, dict[int, int]] = {}
-    for r in binned.join(F.broadcast(edge), ["source", "b1"], "left_semi").groupBy("source", "b2").agg(F.sum("tokens").alias("n")).collect():  # as above
-        fine.setdefault(r["source"], {})[r["b2"]] = r["n"]
-    rows = []
-    for s, (at, left) in cut.items():
-        upto = 0
-        for b in range(BINS):
-            n = fine.get(s, {}).get(b, 0)
-            if n > left and (n - left) >= left:  # the nearer of both sides
-                break
-            upto = b + 1
-            if n > left:
-                break
-            left -= n
-        rows.append((s, whole[s], at, upto))
-    plan = F.broadcast(spark.createDataFrame(rows, "source string, whole int, at int, upto int"))
-    more = (F.col("b1") < F.col("at")) | ((F.col("b1") == F.col("at")) & (F.col("b2") < F.col("upto")))
-    cap = F.broadcast(spark.createDataFrame([(r["source"], int(r["cap"])) for r in wanted], "source string, cap int"))
-    mixed = binned.join(plan, "source").join(cap, "source").withColumn("copies", F.least(F.col("whole") + more.cast("int"), F.col("cap"))).where(F.col("copies") > 0).select("doc_id", "source", "tokens", "copies")
+    # both histograms come from one; at most BINS rows a source
+    bins = staged(binned.groupBy("source", "b1").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("n")))
+    have = bins.groupBy("source").agg(F.sum("docs").alias("records_in"), F.sum("n").alias("tokens_in"))
+    facts = wanted.join(have, "source", "left").select("source", "share", "cap", F.coalesce("records_in", F.lit(0)).alias("records_in"), F.coalesce("tokens_in", F.lit(0)).alias("tokens_in"))
+    facts = facts.withColumn("capacity", F.col("tokens_in") * F.col("cap").cast("double"))
+    everyone = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    filled = water_fill(facts, F.sum("tokens_in").over(everyone) if total is None else F.lit(float(total)))
+    whole = F.when(F.col("tokens_in") > 0, F.floor(F.col("give") / F.col("tokens_in"))).otherwise(0).cast("int")
+    filled = staged(filled.withColumn("whole", whole).withColumn("part", F.col("give") - F.col("whole") * F.col("tokens_in")))
+
+    # the bin that a source's part ends in, and what of the part is left for it
+    upto = Window.partitionBy("source").orderBy("b1").rowsBetween(Window.unboundedPreceding, -1)
+    ends = bins.join(small(filled.select("source", "part")), "source").withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    ends = ends.where((F.col("before") <= F.col("part")) & (F.col("part") < F.col("before") + F.col("n"))).select("source", F.col("b1").alias("at"), (F.col("part") - F.col("before")).alias("left"))
+    edge = staged(ends)
+    fine = binned.join(small(edge.select("source", F.col("at").alias("b1"), "left")), ["source", "b1"]).groupBy("source", "b2").agg(F.sum("tokens").alias("n"), F.first("left").alias("left"))
+    upto = Window.partitionBy("source").orderBy("b2").rowsBetween(Window.unboundedPreceding, -1)
+    fine = fine.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    # up to the nearer side of the last bin
+    taken = fine.where(F.col("before") + F.col("n") / 2 < F.col("left")).groupBy("source").agg((F.max("b2") + 1).alias("upto"))
+    plan = filled.select("source", "cap", "whole").join(edge, "source", "left").join(taken, "source", "left").select("source", "cap", "whole", "at", F.coalesce("upto", F.lit(0)).alias("upto"))
+    more = F.coalesce((F.col("b1") < F.col("at")) | ((F.col("b1") == F.col("at")) & (F.col("b2") < F.col("upto"))), F.lit(False))
+    # copies never pass the cap: where a part ends in no bin, the source gives its whole capacity
+    mixed = binned.join(small(plan), "source").withColumn("copies", F.least(F.col("whole") + more.cast("int"), F.col("cap"))).where(F.col("copies") > 0).select("doc_id", "source", "tokens", "copies")
     out = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens_out"), F.sum("copies").alias("records_out"), F.max("copies").alias("most_copies"))
-    weight = sum(r["share"] for r in wanted) or 1.0
-    facts = spark.createDataFrame(
-        [(r["source"], r["share"] / weight, int(r["cap"]), have.get(r["source"], (0, 0))[0], size[r["source"]], give[r["source"]], give[r["source"]] >= capacity[r["source"]]) for r in wanted],
-        "source string, target_share double, max_repeats int, records_in long, tokens_in long, tokens_planned double, clamped boolean",
-    )
-    everything = out.agg(F.sum("tokens_out").alias("all_out"))
-    report = facts.join(out, "source", "left").crossJoin(everything).select(
-        "source", "target_share", (F.coalesce("tokens_out", F.lit(0)) / F.when(F.col("all_out") > 0, F.col("all_out"))).alias("share"), "max_repeats", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "records_in", F.coalesce("records_out", F.lit(0)).alias("records_out"), "tokens_in", "tokens_planned", F.coalesce("tokens_out", F.lit(0)).alias("tokens_out"), "clamped"
-    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    whole_of = lambda c: F.sum(c).over(everyone)
+    report = filled.join(out, "source", "left").select(
+        "source", (F.col("share") / F.when(whole_of("share") > 0, whole_of("share"))).alias("target_share"), (F.coalesce("tokens_out", F.lit(0)) / F.when(whole_of("tokens_out") > 0, whole_of("tokens_out"))).alias("share"),
+        F.col("cap").alias("max_repeats"), zero("most_copies"), "records_in", zero("records_out"), "tokens_in", F.col("give").alias("tokens_planned"), zero("tokens_out"), (F.col("give") >= F.col("capacity")).alias("clamped"),
+    )
     return mixed, report

@@ -1,21 +1,28 @@
+import random
+
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from codeweft.llm import mixing
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.floats(0, 1), st.floats(0, 1000)), min_size=1, max_size=8), st.floats(0, 3000))
-def test_water_fill(sources, total):
-    w = {str(i): x for i, (x, _) in enumerate(sources)}
-    cap = {str(i): c for i, (_, c) in enumerate(sources)}
-    got = mixing.water_fill(w, cap, total)
-    assert all(0 <= got[s] <= cap[s] + 1e-6 for s in w)
-    feasible = sum(cap[s] for s in w if w[s] > 0)
-    assert sum(got.values()) == pytest.approx(min(total, feasible), rel=1e-6, abs=1e-6)
-    free = [got[s] / w[s] for s in w if w[s] > 1e-6 and got[s] < cap[s] - 1e-6]
-    assert not free or max(free) == pytest.approx(min(free), rel=1e-6, abs=1e-6)
+def poured(weights, capacity, total):
+    """Water-filling by halving the level."""
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if sum(min(c, mid * w) for w, c in zip(weights, capacity)) > total else (mid, hi)
+    return [min(c, lo * w) for w, c in zip(weights, capacity)]
+
+
+@pytest.mark.parametrize("total", [0.0, 10.0, 700.0, 1e9])
+def test_water_fill(spark, total):
+    rng = random.Random(total)
+    for n in (1, 2, 9):
+        rows = [(f"s{i}", rng.choice([0.0, 0.1, rng.random()]), rng.choice([0.0, 50.0, 1000 * rng.random()])) for i in range(n)]
+        got = {r["source"]: r["give"] for r in mixing.water_fill(spark.createDataFrame(rows, "source string, share double, capacity double"), F.lit(total)).collect()}
+        for (s, w, c), want in zip(rows, poured([w for _, w, _ in rows], [c for *_, c in rows], total)):
+            assert got[s] == pytest.approx(want, rel=1e-6, abs=1e-3) and got[s] <= c
 
 
 def docs(spark):
@@ -48,6 +55,18 @@ def test_empty(spark):
 
 
 def test_pieces_keep_tokens():
-    text = "Some words, and (more) of them.\n" * 3000
-    assert mixing.count_tokens(text) == len(mixing._encoder(mixing.VOCABULARY).encode_ordinary(text))
-    assert "".join(mixing.pieces("a" * 100001)) == "a" * 100001
+    whole = lambda t: len(mixing._encoder(mixing.VOCABULARY).encode_ordinary(t))
+    rng = random.Random(3)
+    for text in ["Some words, and (more) of them.\n" * 3000, "x=1;y='s';" * 9000, "循環した依存関係が見つかりました。" * 4000, "0123456789abc" * 6000, "don't 'some\n\n  '" * 5000, "".join(rng.choices("ab1 '\n.é関s", k=90000))]:
+        parts = list(mixing.pieces(text))
+        assert len(parts) > 1 and "".join(parts) == text and mixing.count_tokens(text) == whole(text)
+    assert list(mixing.pieces("a" * 100001)) == ["a" * 100001]
+
+
+def test_shares_add_up_for_a_large_source(spark):
+    data = [(i, "token " * (1 + i % 9), "one" if i % 3 else "two") for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("one", 3.0, 5), ("two", 1.0, 5)], "source string, target_share double, max_repeats int")
+    for total in (500.0, 7000.0, 40000.0):
+        rep = {r["source"]: r for r in mixing.mix(df, targets, total)[1].collect()}
+        assert rep["one"]["tokens_planned"] == 0.75 * total and all(abs(r["tokens_out"] - r["tokens_planned"]) <= 10 for r in rep.values())
