@@ -2,8 +2,10 @@
 
 References and the validity intervals of their parents are co-partitioned on the referred key and sorted by time; one
 linear pass over each sorted run keeps the number of open intervals, so a reference is an orphan where none is open.
-An interval opened before tells a deleted parent, one opened only later a late parent, none at all a missing parent.
-Hot keys are split into shards over tasks, and their (deduplicated) intervals copied to each shard.
+An interval opened before tells a deleted parent, one opened only later a late parent, none at all a missing parent; a row
+ahead of each run says whether its key has an interval at all, so the pass only looks back.
+Tasks are packed by references and intervals together. Hot keys are split into shards over tasks, and their (deduplicated)
+intervals copied to each shard.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from codeweft.functions import ids
 from codeweft.operators.skew import TASK, fragment, plan_fragments, replicate, to_tasks
 
+HEAD = 9
+
 
 def merge_references(refs: DataFrame, parents: DataFrame, tasks: int | None = None) -> DataFrame:
     """Every row of refs with its state: found, missing, deleted or late.
@@ -26,16 +30,18 @@ def merge_references(refs: DataFrame, parents: DataFrame, tasks: int | None = No
     """
     extra = [c for c in refs.columns if c not in ("key", "at")]
     refs = refs.where(F.col("key").isNotNull())
-    plan = plan_fragments(refs, "key", tasks)
-    spans = parents.where(F.col("key").isNotNull() & F.col("opened").isNotNull() & (F.col("closed").isNull() | (F.col("closed") > F.col("opened")))).select("key", "opened", "closed").distinct()
-    events = spans.select("key", F.explode(F.array(F.struct(F.col("opened").alias("at"), F.lit(1).alias("step")), F.struct(F.col("closed").alias("at"), F.lit(-1).alias("step")))).alias("e")).select("key", "e.*").where(F.col("at").isNotNull())
+    spans = parents.where(F.col("key").isNotNull() & F.col("opened").isNotNull() & (F.col("closed").isNull() | (F.col("closed") > F.col("opened")))).select("key", "opened", "closed")
+    plan = plan_fragments(refs.select("key").unionByName(spans.select("key")), "key", tasks)
+    # a head without a time goes before everything else of its key
+    head, ends = F.struct(F.lit(None).cast("timestamp").alias("at"), F.lit(HEAD).alias("step")), [F.struct(F.col(c).alias("at"), F.lit(n).alias("step")) for c, n in (("opened", 1), ("closed", -1))]
+    events = spans.distinct().select("key", F.explode(F.array(head, *ends)).alias("e")).select("key", "e.*").where(F.col("at").isNotNull() | (F.col("step") == HEAD))
     left = fragment(refs.select("key", "at", F.lit(0).alias("step"), F.struct(*(F.col(c) for c in extra), F.lit(1).alias("__ref")).alias("row")), plan)
     stream = to_tasks(left.unionByName(replicate(events, plan), allowMissingColumns=True), plan)
-    run = Window.partitionBy(TASK, "key")
     # closings before openings before references, at equal times
-    sofar = run.orderBy("at", F.when(F.col("step") == 0, 2).otherwise(F.col("step"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.col("step")
+    sofar = Window.partitionBy(TASK, "key").orderBy("at", F.when(step == 0, 2).when(step == HEAD, -2).otherwise(step)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = stream.select(
-        "key", "at", "row", F.sum("step").over(sofar).alias("open"), F.max(F.when(F.col("step") == 1, 1)).over(sofar).alias("before"), F.max(F.when(F.col("step") == 1, 1)).over(run).alias("ever")
+        "key", "at", "row", F.sum(F.when(step != HEAD, step)).over(sofar).alias("open"), F.max(F.when(step == 1, 1)).over(sofar).alias("before"), F.max(F.when(step == HEAD, 1)).over(sofar).alias("ever")
     ).where(F.col("row").isNotNull())
     state = F.when(F.col("open") > 0, "found").when(F.col("before") == 1, "deleted").when(F.col("ever") == 1, "late").otherwise("missing")
     return merged.select("key", "at", *(F.col(f"row.{c}").alias("state_ref" if c == "state" else c) for c in extra), state.alias("state"))

@@ -96,11 +96,22 @@ def store_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
 
 
-class EdgeStore:
-    """Versioned parquet store with one writer: a write is a new version folder, made current by one small file."""
+class Conflict(RuntimeError):
+    """Another writer committed the version first."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+
+class TableStore:
+    """Versioned parquet tables under one path, for any number of writers.
+
+    A write is a new folder; it counts once the file with the next version's number names it. That file is created only if it is not
+    there yet, so of two writers with one base the second one fails, and a transaction starts again from what the first one wrote.
+    Where nothing was written, or a version's tables can't be read and `tolerant` is set, the tables are empty.
+    """
+
+    TABLES: dict[str, T.StructType] = {}
+
+    def __init__(self, spark: SparkSession, path: str, tolerant: bool = False) -> None:
+        self.spark, self.path, self.tolerant = spark, path.rstrip("/"), tolerant
 
     def _fs(self):
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -115,24 +126,96 @@ class EdgeStore:
             return []
         return sorted(s.getPath().getName()[:-5] for s in fs.listStatus(root) if s.getPath().getName().endswith(".done"))
 
-    def load(self) -> tuple[DataFrame, DataFrame]:
-        """Nodes and edges of the current version; empty tables if nothing was written."""
-        at = self.versions()
-        if not at:
-            return self.spark.createDataFrame([], NODE), self.spark.createDataFrame([], EDGE)
-        return self.spark.read.schema(NODE).parquet(f"{self.path}/{at[-1]}/nodes"), self.spark.read.schema(EDGE).parquet(f"{self.path}/{at[-1]}/edges")
-
-    def save(self, nodes: DataFrame, edges: DataFrame) -> str:
-        """Writes a new version; it counts only once both tables are complete."""
-        version = f"{len(self.versions()):08d}-{uuid.uuid4().hex[:8]}"
-        nodes.select(*(F.col(f.name).cast(f.dataType) for f in NODE)).write.parquet(f"{self.path}/{version}/nodes")
-        edges.select(*(F.col(f.name).cast(f.dataType) for f in EDGE)).write.parquet(f"{self.path}/{version}/edges")
+    def _read(self, version: str | None) -> tuple[DataFrame, ...]:
+        if version is None:
+            return tuple(self.spark.createDataFrame([], schema) for schema in self.TABLES.values())
+        try:
+            folder = self.spark.read.text(f"{self.path}/{version}.done").first()[0]
+            out = tuple(self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/{name}") for name, schema in self.TABLES.items())
+            if self.tolerant:
+                for df in out:
+                    df.foreach(lambda _: None)
+            return out
+        except Exception:
+            if not self.tolerant:
+                raise
+            return self._read(None)
+
+    def load(self) -> tuple[DataFrame, ...]:
+        """The tables of the current version."""
+        return self._read(next(iter(self.versions()[-1:]), None))
+
+    def save(self, *tables: DataFrame, base: str | None = None) -> str:
+        """Writes a new version on top of base, by default the current one; fails with Conflict if another writer was faster."""
+        at = self.versions()[-1:] if base is None else [base] * bool(base)
+        version = f"{int(at[0]) + 1 if at else 0:08d}"
+        folder = f"{version}-{uuid.uuid4().hex[:12]}"
+        for (name, schema), df in zip(self.TABLES.items(), tables, strict=True):
+            df.select(*(F.col(f.name).cast(f.dataType) for f in schema)).write.parquet(f"{self.path}/{folder}/{name}")
         jvm, fs = self._fs()
-        tmp, done = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{version}{x}") for x in (".tmp", ".done"))
-        fs.create(tmp, True).close()
-        fs.rename(tmp, done)
+        path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}")
+        try:
+            out = fs.create(path(f"{version}.done"), False)
+        except Exception as e:
+            fs.delete(path(folder), True)
+            if fs.exists(path(f"{version}.done")):
+                raise Conflict(version) from e
+            raise
+        out.write(bytearray(folder.encode()))
+        out.close()
         return version
 
-    def transaction(self, change) -> str:
-        """load, change(nodes, edges) -> (nodes, edges), save. A failing change leaves the store as it was."""
-        return self.save(*change(*self.load()))
+    def transaction(self, change, attempts: int = 20) -> str:
+        """load, change(*tables) -> tables, save; again from the start if another writer came first. A failing change leaves the store as it was."""
+        for left in range(attempts - 1, -1, -1):
+            base = next(iter(self.versions()[-1:]), "")
+            out = change(*self._read(base or None))
+            try:
+                return self.save(*(out if isinstance(out, tuple) else (out,)), base=base)
+            except Conflict:
+                if not left:
+                    raise
+        raise AssertionError
+
+
+class EdgeStore(TableStore):
+    TABLES = {"nodes": NODE, "edges": EDGE}
+
+
+class CloneStore(TableStore):
+    TABLES = {"edges": T.StructType([T.StructField(c, T.StringType()) for c in ("source", "target", "kind", "severity", "cloneType")])}
+
+
+class FolderTreeStore(TableStore):
+    TABLES = {"folders": T.StructType([T.StructField("path", T.StringType()), T.StructField("parent", T.StringType()), T.StructField("fileCount", T.LongType()), T.StructField("totalLOC", T.LongType()), T.StructField("documented", T.BooleanType())])}
+
+
+class FolderEdgeStore(TableStore):
+    TABLES = {"edges": T.StructType([T.StructField("from", T.StringType()), T.StructField("to", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("weight", T.LongType())])}
+
+
+class ManifestStore(TableStore):
+    """Files as the last scan saw them."""
+
+    TABLES = {"files": T.StructType([T.StructField("path", T.StringType()), T.StructField("mtimeMs", T.DoubleType()), T.StructField("size", T.LongType()), T.StructField("lines", T.LongType()), T.StructField("status", T.StringType()), T.StructField("hash", T.StringType())])}
+
+
+class AnalysisCache(TableStore):
+    """Hashes of entities by file and content; entries of files that changed or left are put out by the next update."""
+
+    TABLES = {
+        "entities": T.StructType(
+            [T.StructField(c, T.StringType()) for c in ("fileId", "contentHash", "id", "normalizedHash")] + [T.StructField("tokenCount", T.LongType()), T.StructField("literalHashes", T.ArrayType(T.StringType()))]
+        )
+    }
+
+    def missing(self, files: DataFrame) -> DataFrame:
+        """(path, hash) of the files whose content is not in the cache; a file without entities is there under a null id."""
+        have = self.load()[0].select(F.col("fileId").alias("path"), F.col("contentHash").alias("hash")).distinct()
+        return files.select("path", "hash").join(have, ["path", "hash"], "left_anti")
+
+    def update(self, files: DataFrame, fresh: DataFrame) -> str:
+        """Keeps what still belongs to files (path, hash), and adds fresh entities."""
+        now = files.select(F.col("path").alias("fileId"), F.col("hash").alias("contentHash")).distinct()
+        names = [f.name for f in self.TABLES["entities"]]
+        return self.transaction(lambda old: old.join(now, ["fileId", "contentHash"], "left_semi").select(*names).unionByName(fresh.select(*names)))

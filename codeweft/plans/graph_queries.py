@@ -11,7 +11,7 @@ from codeweft.plans.base import Register
 from codeweft.plans.tables import (
     BARREL, EXTS, TESTFILE, edges, entities, files, first_folder, graph_of, nodes, q_ancestors, q_external, q_file, q_folder, raw_edges, raw_nodes, sql, top_file,
 )
-from codeweft.session import staged, table
+from codeweft.session import ranked, staged, table
 
 R = Register()
 S = SparkSession
@@ -341,12 +341,9 @@ def a1(s: S, d: str) -> D:
     return metrics.hubs(graph_of(s, d).file_imports).withColumn("instability", F.round("instability", 9))
 
 
-@R.add("o1_hubs_ranked", sql(f"SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id) AS place FROM ({HUB_ROWS}) QUALIFY place <= 10", HUBS), place="INTEGER")
+@R.add("o1_hubs_ranked", sql(f"SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id) AS place FROM ({HUB_ROWS})", HUBS))
 def o1(s: S, d: str) -> D:
-    from pyspark.sql import Window
-
-    top = metrics.hubs(graph_of(s, d).file_imports).orderBy(F.desc("degree"), "id").limit(10)
-    return top.select("id", "degree", F.row_number().over(Window.orderBy(F.desc("degree"), "id")).alias("place"))
+    return ranked(metrics.hubs(graph_of(s, d).file_imports).select("id", "degree"), [F.desc("degree"), F.col("id")], "place")
 
 
 @R.add("a2_max_fan_in", sql("SELECT coalesce(max(ca), 0) AS maxFanIn FROM deg", HUBS))

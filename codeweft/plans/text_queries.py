@@ -7,12 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.functions import ids
+from codeweft.functions import bodies, ids
 from codeweft.operators import clones, graph, metrics, review, scanners, scc
 from codeweft.plans.base import Register
 from codeweft.plans.graph_queries import EXACT, EXT, HUB_ROWS, HUBS, WIDTH, _width
 from codeweft.plans.tables import EXTS, edges, entities, files, graph_of, nodes, q_ancestors, q_external, q_file, q_folder, raw_nodes, sql
-from codeweft.session import shared_dir, staged, table
+from codeweft.session import ranked, shared_dir, staged, table
 from codeweft.sources import extract, resolve
 from codeweft.sources import files as source_files
 from codeweft.streaming import watch
@@ -52,6 +52,36 @@ def x13(s: S, d: str) -> D:
     return resolve.call_edges_of(_arts(s, d), "textHash")
 
 
+# ---- bodies ----------------------------------------------------------------------------------------------------------
+
+BODY = f"b AS (SELECT path, text, {bodies.normalized_sql('text')} AS n FROM (SELECT DISTINCT path, text FROM documents WHERE path IS NOT NULL AND text IS NOT NULL))"
+
+
+def _bodies(s: S, d: str) -> D:
+    return table(s, d, "documents").where("path is not null and text is not null").select("path", "text").distinct()
+
+
+@R.add("h1_normalized_bodies", f"WITH {BODY} SELECT path, sha256(text) AS textHash, sha256(n.text) AS normalizedHash, n.tokenCount AS tokenCount FROM b", tokenCount="INTEGER")
+def h1(s: S, d: str) -> D:
+    """Every source text in the form that forgets names and literal values."""
+    return _bodies(s, d).withColumn("n", bodies.normalized_body("text")).select("path", F.sha2("text", 256).alias("textHash"), F.sha2("n.text", 256).alias("normalizedHash"), "n.tokenCount")
+
+
+@R.add("h2_literal_hashes")
+def h2(s: S, d: str) -> D:
+    """Literal payloads of every source text, with the number of texts that hold each; cut by Python, so tests pin them."""
+    b = bodies.entity_hashes(_bodies(s, d), "text")
+    return b.select(F.explode(F.array_distinct("literalHashes")).alias("literal")).groupBy("literal").agg(F.count(F.lit(1)).alias("texts")).withColumn("sharedKind", clones.shared_kind("literal"))
+
+
+@R.add("h3_text_clones", f"WITH {BODY} SELECT sha256(n.text) AS normalizedHash, count(*) AS members, count(DISTINCT path) AS files, max(n.tokenCount) AS tokenCount FROM b WHERE n.tokenCount >= 20 GROUP BY 1 HAVING count(*) >= 2", tokenCount="INTEGER")
+def h3(s: S, d: str) -> D:
+    """Source texts that differ in names and literal values only; texts are counted by path and text."""
+    n = _bodies(s, d).withColumn("n", bodies.normalized_body("text")).where(F.col("n.tokenCount") >= clones.MIN_TOKENS).select(F.sha2("n.text", 256).alias("normalizedHash"), "path", F.col("n.tokenCount").alias("t"))
+    per = n.groupBy("normalizedHash", "path").agg(F.count(F.lit(1)).alias("m"), F.max("t").alias("t"))
+    return per.groupBy("normalizedHash").agg(F.sum("m").alias("members"), F.count(F.lit(1)).alias("files"), F.max("t").alias("tokenCount")).where("members >= 2")
+
+
 STEM = r"regexp_replace(regexp_replace(target, '\.[A-Za-z]+$', ''), '/index$', '')"
 CAND = "[" + ", ".join(f"'{c}'" for c in resolve.INDEX_CANDIDATES) + "]"
 
@@ -295,11 +325,11 @@ def j13(s: S, d: str) -> D:
 
 @R.add("w6_colour_ranks", sql(f"SELECT id, dense_rank() OVER (ORDER BY folder) - 1 AS folderRank, row_number() OVER (PARTITION BY folder ORDER BY id) - 1 AS nodeRank FROM (SELECT id, CASE WHEN contains(id, '/') THEN {q_folder('id')} ELSE 'misc' END AS folder FROM inodes)"), folderRank="INTEGER", nodeRank="INTEGER")
 def w6(s: S, d: str) -> D:
-    """Each node's folder rank and its rank in the folder; folders are ranked among themselves, so no window spans all nodes."""
+    """Each node's folder rank and its rank in the folder; folders are ranked range by range."""
     from pyspark.sql import Window
 
     n = graph_of(s, d).nodes.select("id", F.when(F.instr("id", "/") > 0, ids.folder("id")).otherwise("misc").alias("folder"))
-    ranks = n.select("folder").distinct().withColumn("folderRank", F.row_number().over(Window.orderBy("folder")) - 1)
+    ranks = ranked(n.select("folder").distinct(), [F.col("folder")], "folderRank").withColumn("folderRank", (F.col("folderRank") - 1).cast("int"))
     return n.join(ranks, "folder").select("id", "folderRank", (F.row_number().over(Window.partitionBy("folder").orderBy("id")) - 1).alias("nodeRank"))
 
 

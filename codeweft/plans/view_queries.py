@@ -60,10 +60,10 @@ def _chain(s: S, d: str) -> D:
     return clones.chain_edges(e, "normalizedHash", "exact-body").select("source", "target")
 
 
-@R.add("o3_clone_edges_first", sql("SELECT source, target FROM ch ORDER BY source, target LIMIT 25", CHAIN))
+@R.add("o3_clone_edges_first", sql("SELECT source, target FROM ch ORDER BY source, target", CHAIN))
 def o3(s: S, d: str) -> D:
-    """The first clone edges of a report, in its order; the limit is the report's."""
-    return _chain(s, d).orderBy("source", "target").limit(25)
+    """Clone edges in a report's order."""
+    return _chain(s, d).orderBy("source", "target")
 
 
 @R.add("o5_report_members", sql("SELECT normalizedHash, array_to_string(list_sort(list(id))[1:20], ' ') AS shown, count(*) AS members FROM ce_ents WHERE tokenCount >= 20 AND normalizedHash IS NOT NULL GROUP BY normalizedHash HAVING count(*) >= 2"))

@@ -44,3 +44,43 @@ def test_replace_files(spark, rows):
     changed = spark.createDataFrame([("f",)], "path string")
     a, b = store.replace_files(n, e, changed, n.where("id = 'f'"), e.limit(0))
     assert rows(a, "id") == [("f",), ("g",)] and rows(b, "source", "target") == [("g", "h")]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, rows):
+    one, two = (store.EdgeStore(spark, f"file://{tmp_path}/store") for _ in range(2))
+    add = lambda name: lambda n, e: (n.unionByName(spark.createDataFrame([(name, name, "file", name, None)], store.NODE)), e)
+    one.transaction(add("a"))
+    raced = []
+
+    def slow(n, e):
+        if not raced:
+            raced.append(two.transaction(add("b")))
+        return add("c")(n, e)
+
+    one.transaction(slow)
+    assert rows(one.load()[0], "id") == [("a",), ("b",), ("c",)] and one.versions() == two.versions() == ["00000000", "00000001", "00000002"]
+    n, e = one.load()
+    with pytest.raises(store.Conflict):
+        two.save(n, e, base="00000000")
+    assert len(one.versions()) == 3 and rows(one.load()[0], "id") == rows(n, "id")
+
+
+def test_other_stores(spark, tmp_path, rows):
+    c = store.CloneStore(spark, f"file://{tmp_path}/clones", tolerant=True)
+    assert c.load()[0].count() == 0
+    c.save(spark.createDataFrame([("a", "b", "clone", "high", "exact-body")], store.CloneStore.TABLES["edges"]))
+    assert rows(c.load()[0], "source", "severity") == [("a", "high")]
+    (tmp_path / "clones" / "00000001.done").write_text("nowhere")
+    assert c.load()[0].count() == 0
+    with pytest.raises(Exception, match="nowhere"):
+        store.CloneStore(spark, f"file://{tmp_path}/clones").load()[0].count()
+    cache = store.AnalysisCache(spark, f"file://{tmp_path}/cache")
+    files = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, hash string")
+    entry = spark.createDataFrame([("a", "1", "a::f", "h", 30, ["str:x"]), ("b", "2", None, None, None, None)], store.AnalysisCache.TABLES["entities"])
+    assert cache.missing(files).count() == 2
+    cache.update(files, entry)
+    assert cache.missing(files).count() == 0
+    now = spark.createDataFrame([("a", "1"), ("b", "3")], "path string, hash string")
+    assert rows(cache.missing(now)) == [("b", "3")]
+    cache.update(now, entry.limit(0))
+    assert rows(cache.load()[0], "fileId", "id") == [("a", "a::f")]

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from codeweft.functions import bodies
 from codeweft.operators import review, scanners, store
 from codeweft.plans import text_queries
 from codeweft.sources import extract, files, resolve
@@ -199,3 +200,49 @@ def test_checklist_has_every_scanner(spark, tmp_path, monkeypatch):
         got.setdefault(r["item"], []).append((r["ref"], r["note"]))
     assert got["FR1"] == [("string", "2 files")] and got["FD2"] == [("two", "not registered")] and got["FV1"] == [("b.ts", ".dataset.id")]
     assert sorted(got["DEP3"]) == sorted(got["FB1"]) == [("a.ts", "budget"), ("b.ts", "schema")]
+
+
+def test_parts_of_a_folder(spark, tmp_path, rows):
+    root = tmp_path / "repo"
+    put = lambda path, text: ((root / path).parent.mkdir(parents=True, exist_ok=True), (root / path).write_text(text))
+    for path, text in {"src/a.py": "from .b import go\n\ndef f():\n    go()\n", "src/b.py": "def go():\n    pass\n", "src/in/c.py": "def h():\n    pass\n", "bad.py": "def (", "x.md": "# x"}.items():
+        put(path, text)
+    es, ms = store.EdgeStore(spark, f"file://{tmp_path}/store"), store.ManifestStore(spark, f"file://{tmp_path}/manifest")
+    ids_ = lambda: [r[0] for r in rows(es.load()[0], "id")]
+    files.scan_file(es, str(root), "src/in/c.py")
+    assert ids_() == ["src/in/c.py", "src/in/c.py::h"]
+    for bad in ("bad.py", "x.md", "none.py"):
+        with pytest.raises(ValueError, match=bad):
+            files.scan_file(es, str(root), bad)
+    assert rows(files.scan_folder(es, str(root), "src"), "decision", "files") == [("parse", 2)]
+    assert ids_() == ["src/a.py", "src/a.py::f", "src/b.py", "src/b.py::go", "src/in/c.py", "src/in/c.py::h"] and es.load()[1].count() == 2
+    assert dict(rows(files.refresh(es, ms, str(root)), "path", "change")) == dict.fromkeys(["src/a.py", "src/b.py", "src/in/c.py", "bad.py", "x.md"], "new")
+    put("src/b.py", "def go():\n    pass\n\ndef more():\n    pass\n")
+    (root / "src/in/c.py").unlink()
+    got = dict(rows(files.refresh(es, ms, str(root), "src"), "path", "change"))
+    assert got == {"src/a.py": "unchanged", "src/b.py": "changed", "src/in/c.py": "deleted"} and "src/b.py::more" in ids_() and "src/in/c.py" not in ids_()
+    assert sorted(r["path"] for r in ms.load()[0].collect()) == ["bad.py", "src/a.py", "src/b.py", "x.md"]
+    watched = files.add_watched(es, spark.createDataFrame([("other.py",)], "path string"), str(root), "src")
+    assert rows(watched) == [("other.py",), ("src/a.py",), ("src/b.py",)]
+    assert rows(files.remove_watched(es, watched, "src")) == [("other.py",)] and not [i for i in ids_() if i.startswith("src")]
+    old = tmp_path / "old.json"
+    old.write_text('{"schemaVersion": 3, "resolverVersion": "x", "timestamp": "t", "nodes": [], "edges": []}')
+    assert "src/b.py::more" in [r["id"] for r in files.load_or_rescan(es, str(root), str(old))[0].collect()]
+
+
+def test_bodies(spark):
+    a, b = 'function f(){const x = 1; return g(x) + h(2, "a");} // c', "function q(){const y = 2; /* no */ return g(y) + h(7, `z`);}"
+    df = spark.createDataFrame([(a,), (b,), (None,), ("",), ("x" * 200000 + " '" + "y" * 200000 + "'",)], "body string")
+    got = {r["body"]: r for r in bodies.entity_hashes(df).collect()}
+    assert got[a]["normalizedHash"] == got[b]["normalizedHash"] and got[a]["tokenCount"] == 24 == got[b]["tokenCount"]
+    assert got[None]["normalizedHash"] is None and got[None]["literalHashes"] == [] and got[""]["tokenCount"] == 0
+    form = lambda t: spark.createDataFrame([(t,)], "b string").select(bodies.normalized_body("b").alias("n")).first()["n"]["text"]
+    assert form("x.replace(/a[/]\\/b/g, '//no')") == "$ID . $ID ( $LIT , $LIT )" and form("a / b / c") == "$ID / $ID / $ID" and form("type T = A | null;") == "type $ID = $ID | null ;"
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [("const c = 'a'; const arr = ['only'];", []), ("m = ['.git', \"x\\n\", [1, 2]];", [("arr", ".git,x\n,[1,2]")]), ("return p.replace(/\\\\/g, '/');", [("re", "/\\\\/g")]), ("n = 12 / 3; y = x[i] + `t${x}` + `p1`", [("num", "12"), ("str", "p1")]), ("// 'no'\n/* 'no' */ 'yes'", [("str", "yes")]), ("", [])],
+)
+def test_literal_payloads(body, want):
+    assert bodies.literal_payloads(body) == want
