@@ -22,6 +22,12 @@ def p1_judged(spark: SparkSession, d: str) -> DataFrame:
     return source_kind.judged(table(spark, d, "file_node"), table(spark, d, "cached_entity"))
 
 
+@R.add("p1_held_out")
+def p1_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """How many labelled files of each kind the forest finds that it was not fitted on."""
+    return source_kind.held_out(table(spark, d, "file_node"), table(spark, d, "cached_entity"))
+
+
 SIMILARITY, MIN_SET = 0.7, 4
 CACHED, SHARED = 0, 1
 

@@ -1,11 +1,15 @@
 """Generated, minified, vendored and data files told from hand-written source, by a random forest.
 
-The forest sees numbers only: compression ratio and entropy of the sub-words of a file's entity names, identifier lengths,
-comment density, token counts and manifest sizes. Its labels are notices that the features don't contain: a path that says
-what a tool wrote, bundled or dumped there is a positive, a test or helper script kept by hand a negative. What the forest
-learns from the noticed files it applies to all others, so a bundle or a table without any notice is found as well.
-
-A copied third-party file looks like any other source; only its place tells, so the vendor notice decides by itself.
+The forest sees numbers only. A first one knows a file by its content: compression ratio and entropy of the sub-words of its
+entity names, identifier lengths, comment density, token counts and manifest sizes. A copied third-party file looks like any
+other source, and a file without entities like nothing, so a second one knows a file by the company it keeps: over the
+parts of its path (folders, parts of the name) how machine-made the first forest holds the other files with that part to be, and
+over its folders how many of the others there have no entities and are in another language than their package. Only the statistics of
+a part count, never its letters. A file is as machine-made or copied as the surer of the two says.
+
+The labels are notices that the features don't contain: a path that says what a tool wrote, bundled, dumped or copied there is a
+positive; negatives are tests and helper scripts kept by hand for the content, and for the company all files that neither a notice
+nor their content speaks against. A notice teaches; the verdict on every file, noticed or not, is the forests'.
 """
 
 from __future__ import annotations
@@ -17,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions import ids
-from codeweft.session import staged
+from codeweft.operators import manifest
+from codeweft.operators.skew import fragment_join
+from codeweft.session import small, staged
 
 #: Labelled rows the forest is fitted on, at most; the rest is judged all the same.
 MAX_TRAIN = 100_000
@@ -32,7 +38,10 @@ DATA_NOTICE = r"(?i)\.(dat|data)\.\w+$|_(blob|data)\.(py|r)$"
 HAND_NOTICE = r"(^|/)(tests?|tools|scripts)/"
 
 #: How long a file is says nothing, so its plain size and lines are no features; of line length and tokens the order of magnitude counts.
-FEATURES = ["line_length", "entities", "most_tokens", "mean_tokens", "comment_density", "name_length", "longest_name", "shortest_name", "compression", "entropy", "numbered", "token_entropy", "token_spread"]
+CONTENT = ["line_length", "entities", "most_tokens", "mean_tokens", "comment_density", "name_length", "longest_name", "shortest_name", "compression", "entropy", "numbered", "token_entropy", "token_spread"]
+CONTEXT = ["alike", "alike_name", "bare_folder", "foreign_folder"]
+#: Files that a part's statistics are mixed with, as if they were average: a part that few others share says little.
+ALIKE_PRIOR, BARE_PRIOR, FOREIGN_PRIOR = 1, 5, 10
 
 
 def notice(path: Column | str) -> Column:
@@ -44,7 +53,7 @@ def notice(path: Column | str) -> Column:
 
 
 def file_features(files: DataFrame, entities: DataFrame) -> DataFrame:
-    """(id, path, *FEATURES): one row per file id; -1 where a number is unknown, as for files without entities or lines."""
+    """(id, path, *CONTENT): one row per file id; -1 where a number is unknown, as for files without entities or lines."""
     f = files.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("size").alias("size"), F.max("lines").alias("lines"))
     e = entities.where(F.col("id").isNotNull() & F.col("fileId").isNotNull()).groupBy(ids.normalised("fileId").alias("f"), F.col("id").alias("e")).agg(F.max("tokenCount").alias("t"))
     name = F.coalesce(ids.name_part("e"), ids.basename("e"))
@@ -81,10 +90,53 @@ def file_features(files: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def fit_forest(featured: DataFrame, max_train: int = MAX_TRAIN) -> RandomForestClassificationModel | None:
-    """The forest over noticed files, vendored ones aside; None unless both kinds of label occur."""
+def name_parts(path: Column) -> Column:
+    """What files may share of a path: folders below the package, without version numbers, and of the name what is between dots and the ends of the stem."""
+    steps = F.split(F.lower(path), "/")
+    folders = F.slice(steps, 3, F.greatest(F.size(steps) - 3, F.lit(0)))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"-?v?\d+(\.\d+)+$", ""), "[^a-z]+$", "")
+    dots = F.split(F.regexp_replace(F.element_at(steps, -1), r"\d+", "#"), r"\.")
+    stem = F.split(dots[0], "[_-]")
+    middle = F.filter(F.slice(dots, 2, F.greatest(F.size(dots) - 2, F.lit(0))), lambda x: x != "")
+    ends = F.when(F.size(stem) > 1, F.array(F.concat(F.lit("f:"), stem[0]), F.concat(F.lit("l:"), F.element_at(stem, -1)))).otherwise(F.array(F.concat(F.lit("w:"), stem[0])))
+    return F.array_distinct(F.concat(F.transform(folders, lambda x: F.concat(F.lit("d:"), bare(x))), F.transform(middle, lambda x: F.concat(F.lit("m:"), x)), ends))
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of table by key; a table too large to send out is joined with hot keys split."""
+    return rows.join(F.broadcast(table), key, "left") if small(table) is not table else fragment_join(rows, table, key, "left")
+
+
+def with_context(scored: DataFrame) -> DataFrame:
+    """scored (id, path, content features, content: probability by content) with the CONTEXT features; a file's own numbers are left out of its parts'."""
+    language = F.regexp_replace(manifest.language("path"), "^javascript$", "typescript")
+    has = (F.col("entities") > 0).cast("double")
+    rows = scored.select("id", F.substring_index("path", "/", 2).alias("pkg"), language.alias("lang"), has.alias("has"), (F.coalesce("content", F.lit(0.0)) * has).alias("p"), name_parts(F.col("path")).alias("parts"))
+    main = staged(rows.groupBy("pkg", "lang").agg(F.count(F.lit(1)).alias("n")).groupBy("pkg").agg(F.max_by("lang", F.struct("n", "lang")).alias("main")))
+    rows = staged(_looked_up(rows, main, "pkg").select("id", "has", "p", (F.col("lang") != F.col("main")).cast("double").alias("foreign"), "parts"))
+    all_ = rows.agg(F.coalesce(F.try_divide(F.sum("p"), F.sum("has")), F.lit(0.0)), F.coalesce(1 - F.avg("has"), F.lit(0.0)), F.coalesce(F.avg("foreign"), F.lit(0.0))).first()
+    each = rows.select("id", "has", "p", "foreign", F.explode("parts").alias("part"))
+    stats = staged(each.groupBy("part").agg(F.sum("p").alias("sp"), F.sum("has").alias("sh"), F.sum("foreign").alias("sf"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    at = _looked_up(each, stats, "part")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    others = F.when(F.col("n").isNotNull(), F.col("n") - 1).otherwise(0)
+    mean = lambda whole, own, n, prior, k: (F.greatest(zero(whole - own), F.lit(0.0)) + k * prior) / (n + k)
+    alike = mean(F.col("sp"), F.col("p"), F.greatest(zero(F.col("sh") - F.col("has")), F.lit(0.0)), all_[0], ALIKE_PRIOR)
+    bare = mean((F.col("n") - F.col("sh")), 1 - F.col("has"), others, all_[1], BARE_PRIOR)
+    foreign = mean(F.col("sf"), F.col("foreign"), others, all_[2], FOREIGN_PRIOR)
+    folder = F.startswith("part", F.lit("d:"))
+    ctx = at.groupBy("id").agg(F.max(F.when(folder, alike)).alias("alike"), F.max(F.when(~folder, alike)).alias("alike_name"), F.max(F.when(folder, bare)).alias("bare_folder"), F.max(F.when(folder, foreign)).alias("foreign_folder"))
+    out = scored.join(ctx, "id", "left")
+    return out.withColumns({"content": F.coalesce("content", F.lit(-1.0)), **{c: F.coalesce(c, F.lit(v)) for c, v in zip(CONTEXT, (all_[0], all_[0], all_[1], all_[2]))}})
+
+
+def _label(kinds: tuple[str, ...]) -> Column:
     kind = notice("path")
-    label = F.when(kind == "vendored", None).when(kind.isNotNull(), 1.0).when(F.col("path").rlike(HAND_NOTICE), 0.0)
+    return F.when(kind.isin(*kinds), 1.0).when(kind.isNull() & F.col("path").rlike(HAND_NOTICE), 0.0)
+
+
+def fit_forest(featured: DataFrame, features: list[str], label: Column, max_train: int = MAX_TRAIN) -> RandomForestClassificationModel | None:
+    """The forest over rows with a label (1 machine-made or copied, 0 hand-written), weighted by a column weight; None unless both occur."""
     labelled = featured.withColumn("label", label).where(F.col("label").isNotNull())
     n = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
@@ -92,24 +144,55 @@ def fit_forest(featured: DataFrame, max_train: int = MAX_TRAIN) -> RandomForestC
     # a seeded part by hash of the path, the same at every run and partitioning
     keep = min(1.0, max_train / sum(n.values()))
     part = labelled.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1_000_000)) < keep * 1_000_000)
-    # negatives stand for all files without a notice, most of which are hand-written
-    plain = featured.where(kind.isNull()).count()
-    weighed = part.withColumn("weight", F.when(F.col("label") == 1.0, 1.0).otherwise(max(1.0, plain / n[0.0])))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(weighed).select("features", "label", "weight").coalesce(4)
+    vectors = VectorAssembler(inputCols=features, outputCol="features").transform(part).select("features", "label", "weight").coalesce(4)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight", minInstancesPerNode=5, maxBins=128, featureSubsetStrategy="0.5", maxMemoryInMB=64).fit(vectors)
 
 
+def _scored(rows: DataFrame, model: RandomForestClassificationModel | None, features: list[str], name: str) -> DataFrame:
+    if model is None:
+        return rows.withColumn(name, F.lit(None).cast("double"))
+    out = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(rows))
+    return out.withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+#: Notices whose files look machine-made, and all.
+MADE = ("generated", "minified", "data")
+ALL = (*MADE, "vendored")
+
+
+def _judged(files: DataFrame, entities: DataFrame, use: Column | None = None) -> DataFrame:
+    """use: which files may teach."""
+    use = F.lit(True) if use is None else use
+    featured = staged(file_features(files, entities))
+    kind = notice("path")
+    # the content of tests and scripts stands for that of all files without a notice, most of which are hand-written
+    n = featured.agg(F.count(F.when(kind.isNull(), 1)).alias("plain"), F.count(F.when(_label(MADE) == 0.0, 1)).alias("hand")).first()
+    weighed = featured.withColumn("weight", F.when(kind.isNotNull(), 1.0).otherwise(max(1.0, n["plain"] / max(1, n["hand"]))))
+    content = fit_forest(weighed, CONTENT, F.when(use, _label(MADE)))
+    rich = staged(with_context(_scored(featured, content, CONTENT, "content")))
+    # their places don't stand for those of others: here every file counts as hand-written that neither notice nor content speak against
+    label = F.when(kind.isNotNull(), 1.0).when(F.col("content") < THRESHOLD, 0.0)
+    both = _scored(rich, fit_forest(rich.withColumn("weight", F.lit(1.0)), CONTEXT, F.when(use, label)), CONTEXT, "company")
+    return both.withColumn("probability", F.greatest(F.when(F.col("content") >= 0, F.col("content")), "company"))
+
+
 def judged(files: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, notice, probability, handwritten) of every file id.
 
-    A file is not hand-written if its path carries a notice, or the forest holds it for machine-made. Files with null ids are
+    A file is hand-written if the forest's probability for machine-made or copied is below THRESHOLD. Files with null ids are
     left out, repeated rows count once; files without entities, size or lines are judged by what is known. Without both
     kinds of noticed files there is no forest, and the notices alone decide (probability is null).
     """
-    featured = staged(file_features(files, entities))
-    model = fit_forest(featured)
-    if model is None:
-        scored = featured.withColumn("probability", F.lit(None).cast("double"))
-    else:
-        scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(featured)).withColumn("probability", vector_to_array("probability")[1])
-    return scored.select("id", notice("path").alias("notice"), "probability").withColumn("handwritten", F.col("notice").isNull() & (F.coalesce("probability", F.lit(0.0)) < THRESHOLD))
+    out = _judged(files, entities).select("id", notice("path").alias("notice"), "probability")
+    return out.withColumn("handwritten", F.coalesce(F.col("probability") < THRESHOLD, F.col("notice").isNull()))
+
+
+def held_out(files: DataFrame, entities: DataFrame) -> DataFrame:
+    """(kind, files, found): how many files of each notice, and of the tests and scripts (kind hand), the forest calls machine-made or copied, half of them judged by a forest that saw only the other half."""
+    half = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(2))
+    out = None
+    for k in (0, 1):
+        one = _judged(files, entities, use=half != k).where((half == k) & _label(ALL).isNotNull())
+        one = one.groupBy(F.coalesce(notice("path"), F.lit("hand")).alias("kind")).agg(F.count(F.lit(1)).alias("files"), F.count(F.when(F.col("probability") >= THRESHOLD, 1)).alias("found"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("kind").agg(F.sum("files").alias("files"), F.sum("found").alias("found"))

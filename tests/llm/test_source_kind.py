@@ -27,19 +27,36 @@ def tables(spark, n=400):
         add(f"packages/p{i % 9}/src/g{i}{'.generated' if noted else ''}.ts", "generated", i, 4000, 130, [f"getXField{j:03}" for j in range(k)], [50] * k)
         k = random.randrange(2, 9)
         add(f"packages/p{i % 9}/src/m{i}{'.min' if noted else ''}.js", "minified", i, 90000, 2, ["a", "b", "ca", "d", "e", "f", "g", "h"][:k], [9000] * k)
-    for i in range(20):
-        add(f"packages/p{i % 9}/third_party/lib/v{i}.ts", "vendored", i, 3000, 100, ["readEdge"], [100])
+    # copies of libraries look like the rest, but often lack entities, and are not in the language of the package
+    for i in range(90):
+        names = ["readEdge", "mergeNode"] if i % 3 else []
+        where = f"third_party/lib{'abcdef'[i % 6]}" if i % 5 else f"src/area{i % 2}/lib{'abcdef'[i % 6]}-1.{i}.0"
+        add(f"packages/p{i % 9}/{where}/v{i}.rs", "vendored", i, 3000, 100, names, [100] * len(names))
     return spark.createDataFrame(files + files[:5], FILE), spark.createDataFrame(ents + ents[:5], ENT), truth
 
 
 def test_finds_unnoticed_files(spark):
     files, ents, truth = tables(spark)
-    got = {r["id"]: r["handwritten"] for r in source_kind.judged(files, ents).collect()}
-    assert len(got) == len(truth)
+    rows = source_kind.judged(files, ents).collect()
+    got = {r["id"]: r["handwritten"] for r in rows}
+    assert len(got) == len(truth) and all(r["handwritten"] == (r["probability"] < source_kind.THRESHOLD) for r in rows)
     wrong = [p for p, k in truth.items() if got[p] != (k == "hand")]
     assert len(wrong) <= 0.01 * len(truth), wrong[:10]
 
 
+def test_held_out(spark):
+    files, ents, truth = tables(spark)
+    got = {r["kind"]: r for r in source_kind.held_out(files, ents).collect()}
+    assert set(got) == {"hand", "generated", "minified", "vendored"} and got["generated"]["files"] == sum(".generated" in p for p in truth)
+    assert all(got[k]["found"] >= 0.9 * got[k]["files"] for k in ("generated", "minified", "vendored")) and got["hand"]["found"] <= 0.02 * got["hand"]["files"]
+
+
+def test_name_parts(spark):
+    path = spark.createDataFrame([("packages/x/src/cindr-v1.2.3/My_file12.min.d.ts",), ("packages/x/a.ts",), ("a.ts",), ("",)], "p string")
+    got = [set(r[0]) for r in path.select(source_kind.name_parts(path["p"])).collect()]
+    assert got == [{"d:src", "d:cindr", "f:my", "l:file#", "m:min", "m:d"}, {"w:a"}, {"w:a"}, {"w:"}]
+
+
 def test_notices():
     import re
 
@@ -58,5 +75,7 @@ def test_nulls_and_empty(spark):
     got = {r["id"] for r in source_kind.judged(files.unionByName(odd), ents.unionByName(spark.createDataFrame([(None, None, None, None, None), ("packages/x/src/unknown.ts::f", "packages/x/src/unknown.ts", None, None, None)], ENT))).collect()}
     assert "packages/x/src/unknown.ts" in got and None not in got
     assert source_kind.judged(files.limit(0), ents).count() == 0
-    alone = source_kind.judged(files.where("id like '%hand%' or id like '%third_party%'"), ents.limit(0)).collect()
-    assert all(r["probability"] is None and r["handwritten"] == ("third_party" not in r["id"]) for r in alone)
+    alone = source_kind.judged(files.where("id like '%/src/hand%'"), ents.limit(0)).collect()
+    assert alone and all(r["probability"] is None and r["handwritten"] for r in alone)
+    bare = source_kind.judged(files, ents.limit(0)).collect()
+    assert len(bare) == files.select("id").distinct().count() and all(r["probability"] is not None for r in bare)
