@@ -9,6 +9,7 @@ from codeweft.functions import ids
 from codeweft.operators import clones, folders, graph, manifest, metrics, scc, store
 from codeweft.plans.base import Register
 from codeweft.plans.tables import (
+    CUT, NOW, SPEAKS, THEN,
     BARREL, EXTS, TESTFILE, edges, entities, files, first_folder, graph_of, nodes, q_ancestors, q_external, q_file, q_folder, raw_edges, raw_nodes, sql, top_file,
 )
 from codeweft.session import ranked, staged, table
@@ -95,13 +96,13 @@ def m11w(s: S, d: str) -> D:
     return store.watch_remove_folder(store.watch_add(f.where("lines > 100"), f.where("size > 9000")), first_folder(s, d))
 
 
-CHANGED = "saved AS (SELECT DISTINCT path, sha256('v' || size) AS hash FROM files WHERE size % 3 > 0), cur AS (SELECT path, sha256('v' || (size + CAST(lines > 200 AS INT))) AS hash FROM files WHERE lines IS NOT NULL)"
+CHANGED = f"saved AS (SELECT DISTINCT path, sha256('v' || size) AS hash FROM files WHERE {THEN}), cur AS (SELECT path, sha256('v' || (size + CAST(lines > 200 AS INT))) AS hash FROM files WHERE lines IS NOT NULL)"
 
 
 @R.add("m12_changed_files", sql("SELECT cur.path, cur.hash FROM cur LEFT JOIN saved ON saved.path = cur.path WHERE cur.hash IS DISTINCT FROM saved.hash", CHANGED))
 def m12(s: S, d: str) -> D:
     f = files(s, d)
-    saved = f.where("size % 3 > 0").select("path", F.sha2(F.concat(F.lit("v"), F.col("size").cast("string")), 256).alias("hash"))
+    saved = f.where(THEN).select("path", F.sha2(F.concat(F.lit("v"), F.col("size").cast("string")), 256).alias("hash"))
     now = f.where("lines is not null").select("path", F.sha2(F.concat(F.lit("v"), (F.col("size") + (F.col("lines") > 200).cast("int")).cast("string")), 256).alias("hash"))
     return store.changed_hashes(saved, now)
 
@@ -551,18 +552,18 @@ def g13(s: S, d: str) -> D:
 
 @R.add(
     "j17_nearest_document",
-    sql(f"SELECT folder, document FROM (SELECT f.folder, dd.document, row_number() OVER (PARTITION BY f.folder ORDER BY length(dd.path) DESC, dd.document DESC) AS rn FROM (SELECT DISTINCT {q_folder('path')} AS folder FROM files) f JOIN dd ON f.folder = dd.path OR starts_with(f.folder, dd.path || '/')) WHERE rn = 1", "dd AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path, regexp_extract(path, '[^/]*$') AS document FROM files WHERE size % 5 = 0)"),
+    sql(f"SELECT folder, document FROM (SELECT f.folder, dd.document, row_number() OVER (PARTITION BY f.folder ORDER BY length(dd.path) DESC, dd.document DESC) AS rn FROM (SELECT DISTINCT {q_folder('path')} AS folder FROM files) f JOIN dd ON f.folder = dd.path OR starts_with(f.folder, dd.path || '/')) WHERE rn = 1", "dd AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path, regexp_extract(path, '[^/]*$') AS document FROM files WHERE " + SPEAKS + ")"),
 )
 def j17(s: S, d: str) -> D:
     f = files(s, d)
-    docs = f.where("size % 5 = 0").select(ids.folder("path").alias("path"), ids.basename("path").alias("document")).distinct()
+    docs = f.where(SPEAKS).select(ids.folder("path").alias("path"), ids.basename("path").alias("document")).distinct()
     return folders.nearest_document(f.select(ids.folder("path").alias("folder")).distinct(), docs)
 
 
 # ---- manifest --------------------------------------------------------------------------------------------------------
 
-MANIFESTS = """old AS (SELECT path, mtimeMs, size, sha256(path || size) AS hash FROM files WHERE size % 7 > 0),
-new AS (SELECT path, mtimeMs + CASE WHEN size % 3 = 0 THEN 5 ELSE 0 END AS mtimeMs, size, CASE WHEN size % 6 = 0 THEN 'x' WHEN size % 9 = 0 THEN NULL ELSE sha256(path || size) END AS hash FROM files WHERE size % 11 > 0)"""
+MANIFESTS = f"""old AS (SELECT path, least(mtimeMs, {CUT}) AS mtimeMs, size, CASE WHEN mtimeMs < {CUT} OR size > 5000 THEN sha256(path || size) ELSE 'x' END AS hash FROM files WHERE {THEN}),
+new AS (SELECT path, mtimeMs, size, CASE WHEN lines IS NOT NULL THEN sha256(path || size) END AS hash FROM files WHERE {NOW})"""
 
 
 @R.add(
@@ -571,8 +572,8 @@ new AS (SELECT path, mtimeMs + CASE WHEN size % 3 = 0 THEN 5 ELSE 0 END AS mtime
 )
 def t7(s: S, d: str) -> D:
     f = files(s, d).withColumn("hash", F.sha2(F.concat("path", F.col("size").cast("string")), 256))
-    old = f.where("size % 7 > 0")
-    new = f.where("size % 11 > 0").withColumn("mtimeMs", F.col("mtimeMs") + F.expr("case when size % 3 = 0 then 5 else 0 end")).withColumn("hash", F.expr("case when size % 6 = 0 then 'x' when size % 9 = 0 then null else hash end"))
+    old = f.where(THEN).withColumn("hash", F.expr(f"case when mtimeMs < {CUT} or size > 5000 then hash else 'x' end")).withColumn("mtimeMs", F.expr(f"least(mtimeMs, {CUT})"))
+    new = f.where(NOW).withColumn("hash", F.expr("case when lines is not null then hash end"))
     return manifest.diff_manifest(old, new)
 
 

@@ -67,6 +67,13 @@ def q_ancestors(x: str) -> str:
     return f"list_transform(range(1, len(string_split({x}, '/'))), lambda k: array_to_string(string_split({x}, '/')[1:k], '/'))"
 
 
+#: Two states of the files: what a scan of the middle of 2024 knew, with files modified since as they may have been, and what is
+#: there after the output folders were cleared. Conditions for Spark and SQL alike.
+CUT = "1.72e12"
+THEN, NOW = f"(mtimeMs < {CUT} OR lines IS NOT NULL)", "(path NOT LIKE '%/dist/%' AND path NOT LIKE '%/public/%')"
+#: Files that speak for their folder.
+SPEAKS = "(path LIKE '%/__init__.%' OR path LIKE '%/index.%')"
+
 BARREL = r"'(^|/)(index\.(ts|tsx|js|jsx)|__init__\.pyi?)$'"
 TESTFILE = r"'^tests/|/tests/|__tests__/|\.(test|spec)\.'"
 

@@ -9,7 +9,7 @@ from codeweft.functions import ids, numbers
 from codeweft.operators import clones, folders, graph, manifest, metrics, scc, store
 from codeweft.plans.base import Register
 from codeweft.plans.graph_queries import EXACT, EXT, FOLDER_EDGES, HUB_ROWS, HUBS, REACH, STATUS, TREE, _folder_edges, _status, _tree
-from codeweft.plans.tables import edges, entities, files, first_folder, graph_of, nodes, q_ancestors, q_folder, sql
+from codeweft.plans.tables import CUT, NOW, SPEAKS, THEN, edges, entities, files, first_folder, graph_of, nodes, q_ancestors, q_folder, sql
 from codeweft.session import staged, table
 from codeweft.sources import files as source_files
 
@@ -113,12 +113,11 @@ def u8(s: S, d: str) -> D:
     return c.where("n >= 2").select("normalizedHash", "related")
 
 
-OLD = "old AS (SELECT path, mtimeMs - CASE WHEN size % 4 = 0 THEN 1 ELSE 0 END AS mtimeMs, size, sha256(path) AS hash FROM files WHERE size % 5 > 0)"
+OLD = f"old AS (SELECT path, least(mtimeMs, {CUT}) AS mtimeMs, size, sha256(path) AS hash FROM files WHERE {THEN})"
 
 
 def _old(s: S, d: str) -> D:
-    f = files(s, d).where("size % 5 > 0")
-    return f.select("path", (F.col("mtimeMs") - F.expr("case when size % 4 = 0 then 1 else 0 end")).alias("mtimeMs"), "size", F.sha2("path", 256).alias("hash"))
+    return files(s, d).where(THEN).select("path", F.expr(f"least(mtimeMs, {CUT})").alias("mtimeMs"), "size", F.sha2("path", 256).alias("hash"))
 
 
 @R.add("t5_files_to_hash", sql("SELECT f.path FROM files f LEFT JOIN old ON old.path = f.path WHERE old.path IS NULL OR old.mtimeMs <> f.mtimeMs OR old.size <> f.size", OLD))
@@ -128,25 +127,25 @@ def t5(s: S, d: str) -> D:
 
 @R.add(
     "t6_refresh_plan",
-    sql("SELECT path, change IN ('changed', 'deleted') AS purge, change <> 'deleted' AS rescan FROM (SELECT coalesce(old.path, n.path) AS path, CASE WHEN old.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' WHEN old.mtimeMs = n.mtimeMs AND old.size = n.size THEN 'unchanged' WHEN old.hash = n.hash THEN 'unchanged' ELSE 'changed' END AS change FROM old FULL JOIN n ON n.path = old.path), folder1 WHERE path = f OR starts_with(path, f || '/')", OLD + ", n AS (SELECT path, mtimeMs, size, sha256(CASE WHEN size % 8 = 0 THEN path ELSE 'z' END) AS hash FROM files WHERE size % 3 > 0)"),
+    sql("SELECT path, change IN ('changed', 'deleted') AS purge, change <> 'deleted' AS rescan FROM (SELECT coalesce(old.path, n.path) AS path, CASE WHEN old.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' WHEN old.mtimeMs = n.mtimeMs AND old.size = n.size THEN 'unchanged' WHEN old.hash = n.hash THEN 'unchanged' ELSE 'changed' END AS change FROM old FULL JOIN n ON n.path = old.path), folder1 WHERE path = f OR starts_with(path, f || '/')", OLD + f", n AS (SELECT path, mtimeMs, size, sha256(CASE WHEN size > 5000 THEN path ELSE 'z' END) AS hash FROM files WHERE {NOW})"),
 )
 def t6(s: S, d: str) -> D:
-    now = files(s, d).where("size % 3 > 0").withColumn("hash", F.sha2(F.expr("case when size % 8 = 0 then path else 'z' end"), 256))
+    now = files(s, d).where(NOW).withColumn("hash", F.sha2(F.expr("case when size > 5000 then path else 'z' end"), 256))
     return manifest.refresh_plan(_old(s, d), now, first_folder(s, d))
 
 
-@R.add("m13_migrated_watch", sql("SELECT f.path, h.hash FROM (SELECT DISTINCT files.path FROM files, folder1 WHERE starts_with(path, f || '/src/') OR size % 13 = 0) f LEFT JOIN (SELECT path, sha256(path) AS hash FROM files WHERE size % 2 = 0) h ON h.path = f.path"))
+@R.add("m13_migrated_watch", sql("SELECT f.path, h.hash FROM (SELECT DISTINCT files.path FROM files, folder1 WHERE starts_with(path, f || '/src/') OR lines > 300) f LEFT JOIN (SELECT path, sha256(path) AS hash FROM files WHERE lines IS NOT NULL) h ON h.path = f.path"))
 def m13(s: S, d: str) -> D:
     f = files(s, d)
-    entry = f.where("size % 13 = 0").select("path").unionByName(s.createDataFrame([(first_folder(s, d) + "/src",)], "path string"))
-    return store.migrate_watch(entry, f, f.where("size % 2 = 0").select("path", F.sha2("path", 256).alias("hash")))
+    entry = f.where("lines > 300").select("path").unionByName(s.createDataFrame([(first_folder(s, d) + "/src",)], "path string"))
+    return store.migrate_watch(entry, f, f.where("lines is not null").select("path", F.sha2("path", 256).alias("hash")))
 
 
-@R.add("x4_nearest_config", sql(f"SELECT path, config FROM (SELECT f.path, c.config, row_number() OVER (PARTITION BY f.path ORDER BY length(c.folder) DESC, c.config DESC) AS rn FROM files f JOIN (SELECT DISTINCT {q_folder('path')} AS folder, regexp_extract(path, '[^/]*$') AS config FROM files WHERE size % 9 = 0) c ON starts_with(f.path, c.folder || '/')) WHERE rn = 1"))
+@R.add("x4_nearest_config", sql(f"SELECT path, config FROM (SELECT f.path, c.config, row_number() OVER (PARTITION BY f.path ORDER BY length(c.folder) DESC, c.config DESC) AS rn FROM files f JOIN (SELECT DISTINCT {q_folder('path')} AS folder, regexp_extract(path, '[^/]*$') AS config FROM files WHERE {SPEAKS}) c ON starts_with(f.path, c.folder || '/')) WHERE rn = 1"))
 def x4(s: S, d: str) -> D:
     """Each file's settings: those of the nearest folder at or above it that has some."""
     f = files(s, d)
-    conf = f.where("size % 9 = 0").select(ids.folder("path").alias("path"), ids.basename("path").alias("document")).distinct()
+    conf = f.where(SPEAKS).select(ids.folder("path").alias("path"), ids.basename("path").alias("document")).distinct()
     at = folders.nearest_document(f.select(ids.folder("path").alias("folder")).distinct(), conf)
     return f.select("path", ids.folder("path").alias("folder")).join(at, "folder").select("path", F.col("document").alias("config"))
 
