@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,7 +33,7 @@ JOINED, MENDING = 3.0, 5.0
 WHOLE_ONLY = -1e3
 LOST = "�"
 TOKEN = r"[^ \t\r\n]*[^\x00-\x7F][^ \t\r\n]*"
-#: Letters of a word that is looked up by its known part; longer ones are restored character by character.
+#: Letters of a word that is looked up by all that is known of it; longer ones are looked up by what is known of their beginning.
 WORD = 40
 #: Log-probability of a letter in a word the model lacks, of a lost byte that stays, of a character that stays though its
 #: bytes spell another one, and of several lost characters for one.
@@ -56,6 +56,7 @@ LOST_CHANNEL = "lost characters"
 
 _unit = re.compile(r"[^\W\d_]+|[^\x00-\x7f]")
 _high = re.compile(r"[^\x00-\x7f]+")
+_ascii = re.compile(r"[\x00-\x7f]+")
 _damage = re.compile(rf"[^\W\d_]{LOST}|{LOST}[^\W\d_]|{LOST}{LOST}")
 
 
@@ -189,10 +190,57 @@ def forced(token: str, edges: list[list[tuple[int, frozenset[str]]]]) -> list[tu
     return out
 
 
-def _key(word: str) -> list[str]:
-    """What a word of the model is found by: its ASCII letters, or first and last character with the length where it has none."""
+def _key(word: str, asked: frozenset[str]) -> list[str]:
+    """What a word of the model is found by: its ASCII letters, or its length with its first, last and asked letters where it has none.
+
+    Beyond WORD letters, its first ASCII letters and its asked letters.
+    """
+    some = sorted(asked.intersection(word))
+    if len(word) > WORD:
+        run = _ascii.search(word)
+        return [*([f"+{run[0][:WORD]}"] if run else []), *(f"+{c}" for c in some)]
     mask = _high.sub("*", word)
-    return [mask] if mask != "*" else [f"*F{len(word)}{word[0]}", f"*L{len(word)}{word[-1]}"]
+    return [mask] if mask != "*" else [f"*F{len(word)}{word[0]}", f"*L{len(word)}{word[-1]}", *(f"*C{len(word)}{c}" for c in some)]
+
+
+def _rarest(letters: str, known: Known | None) -> str:
+    return min(letters, key=lambda c: (known.n.get(c, 0) if known else 0, c))
+
+
+def _keys(text: str, lengths: Iterable[int], known: Known | None) -> list[str]:
+    """Keys of all words of at most WORD letters that text may stand for, U+FFFD being any non-ASCII letters; none if nothing is left of it."""
+    mask, left = _high.sub("*", text), text.replace(LOST, "")
+    if not left or "*" not in mask:
+        return []
+    if mask != "*":
+        return [mask]
+    kind, c = ("F", text[0]) if text[0] != LOST else ("L", text[-1]) if text[-1] != LOST else ("C", _rarest(left, known))
+    return [f"*{kind}{n}{c}" for n in lengths]
+
+
+def _opening(cells: Iterable[tuple[str, str, int]], known: Known | None) -> set[tuple[str, str]]:
+    """(key, pattern) of the words of over WORD letters that begin with cells: (letter or nothing, pattern, its characters).
+
+    Such a word goes beyond WORD characters of the token, so all of these are its own, and so is the first known letter.
+    """
+    pattern, first, others, growing, n = "^", "", "", False, 0
+    for c, p, k in cells:
+        plain = c != "" and c.isascii()
+        if n > WORD and (first or others):
+            # the key holds the first ASCII letters as far as they go
+            if not (growing and plain and len(first) < WORD):
+                break
+            first += c
+            continue
+        pattern, n = pattern + p, n + k
+        growing = plain and (growing or not first)
+        if growing:
+            first += c
+        elif not plain:
+            others += c
+    if first:
+        return {(f"+{first[:WORD]}", pattern)}
+    return {(f"+{_rarest(others, known)}", pattern)} if others else set()
 
 
 def _class(fits: str | frozenset[str]) -> str:
@@ -202,24 +250,16 @@ def _class(fits: str | frozenset[str]) -> str:
     return r"[\x{%x}-\x{%x}]" % (ord(lo), ord(hi))
 
 
-def lookups(cells: list[tuple[int, int, str | frozenset[str]]]) -> set[tuple[str, str]]:
+def lookups(cells: list[tuple[int, int, str | frozenset[str]]], known: Known | None = None) -> set[tuple[str, str]]:
     """(key, pattern) of the words that a path's cells may spell; a cell of several characters may be a letter or end a word."""
     out: set[tuple[str, str]] = set()
     run: list[str | frozenset[str]] = []
 
     def ask(part: list[str | frozenset[str]]) -> None:
-        if not part or len(part) > WORD:
-            return
         text = "".join(x if isinstance(x, str) else LOST for x in part)
-        if text.isascii() or all(x == LOST for x in text):
-            return
-        mask = _high.sub("*", text)
-        keys = [mask]
-        if mask == "*":
-            keys = [f"*F{len(text)}{text[0]}"] if text[0] != LOST else [f"*L{len(text)}{text[-1]}"] if text[-1] != LOST else []
-        # a row of lost bytes may be fewer characters, so the pattern leaves their number open
-        pattern = "".join(map(_class, part))
-        out.update((k, f"^{pattern}$") for k in keys)
+        if keys := _keys(text, [len(text)], known):
+            pattern = "".join(map(_class, part))
+            out.update((k, f"^{pattern}$") for k in keys)
 
     def close() -> None:
         wild = [i for i, x in enumerate(run) if not isinstance(x, str)]
@@ -228,6 +268,8 @@ def lookups(cells: list[tuple[int, int, str | frozenset[str]]]) -> set[tuple[str
             for b in ends:
                 if 0 < b - a <= WORD:
                     ask(run[a:b])
+            if len(run) - a > WORD:
+                out.update(_opening(((x if isinstance(x, str) else "", _class(x), 1) for x in (run[i] for i in range(a, len(run)))), known))
         run.clear()
 
     for _, _, x in cells:
@@ -239,22 +281,65 @@ def lookups(cells: list[tuple[int, int, str | frozenset[str]]]) -> set[tuple[str
     return out
 
 
-def lost_lookups(token: str) -> set[tuple[str, str]]:
-    """(key, pattern) of the words around a token's lost characters, any of which may be a letter, part of one, or a symbol."""
-    out: set[tuple[str, str]] = set()
+def _stretches(token: str) -> Iterator[list[str]]:
+    """The letters around a token's lost characters, as known parts and rows of U+FFFD in turn; a word may begin and end at any of them."""
     for m in re.finditer(rf"[^\W\d_{LOST}]*(?:{LOST}+[^\W\d_{LOST}]*)+", token):
-        parts = [x for x in re.split(rf"({LOST}+)", m[0]) if x]
-        holes = [i for i, x in enumerate(parts) if x[0] == LOST]
-        for a in sorted({0, *holes, *(i + 1 for i in holes)}):
-            for b in sorted({len(parts), *holes, *(i + 1 for i in holes)}):
-                part = parts[a:b]
-                if not part or sum(map(len, part)) > WORD or all(x[0] == LOST for x in part):
-                    continue
-                mask = _high.sub("*", "".join(part))
-                if mask == "*" or "*" not in mask:
-                    continue
-                body = "".join(r"[^\x00-\x7F]{1,%d}" % len(x) if x[0] == LOST else "".join(map(_class, x)) for x in part)
-                out.add((mask, f"^{body}$"))
+        yield [x for x in re.split(rf"({LOST}+)", m[0]) if x]
+
+
+def _hole(lost: str) -> str:
+    # a row of lost bytes may be fewer characters
+    return r"[^\x00-\x7F]{1,%d}" % len(lost)
+
+
+def _letters(part: str) -> str:
+    return "".join(map(_class, part))
+
+
+def lost_lookups(token: str, known: Known | None = None) -> set[tuple[str, str]]:
+    """(key, pattern) of the words around a token's lost characters, any of which may be a letter, part of one, or a symbol.
+
+    Here those that take at most WORD characters of the token; long_lookups has the others.
+    """
+    out: set[tuple[str, str]] = set()
+    for parts in _stretches(token):
+        for a in range(len(parts)):
+            n = least = 0
+            for b in range(a, len(parts)):
+                n += len(parts[b])
+                least += 1 if parts[b][0] == LOST else len(parts[b])
+                if n > WORD:
+                    break
+                part = parts[a : b + 1]
+                if keys := _keys("".join(part), range(least, n + 1), known):
+                    body = "".join(_hole(x) if x[0] == LOST else _letters(x) for x in part)
+                    out.update((k, f"^{body}$") for k in keys)
+    return out
+
+
+def long_lookups(token: str, known: Known | None = None) -> set[tuple[str, str]]:
+    """(key, pattern) of the words that take over WORD characters of a token around its lost ones: longer words, and others whose lost bytes are fewer letters.
+
+    There are as many for every place where a word may begin, whatever the length of the token. So the patterns leave open what the search finds out.
+    """
+    out: set[tuple[str, str]] = set()
+    for parts in _stretches(token):
+        ahead = sum(map(len, parts))
+        for a in range(len(parts)):
+            if ahead <= WORD:
+                break
+            ahead -= len(parts[a])
+            cells = (x for i in range(a, len(parts)) for x in ([("", _hole(parts[i]), len(parts[i]))] if parts[i][0] == LOST else ((c, _class(c), 1) for c in parts[i])))
+            out |= _opening(cells, known)
+            n = least = 0
+            for b in range(a, len(parts)):
+                n += len(parts[b])
+                least += 1 if parts[b][0] == LOST else len(parts[b])
+                if least > WORD:
+                    break
+                if n > WORD and (keys := _keys("".join(LOST if x[0] == LOST else x for x in parts[a : b + 1]), range(least, WORD + 1), known)):
+                    pattern = f"^{_letters(parts[a])}" if parts[a][0] != LOST else f"{_letters(parts[b])}$" if parts[b][0] != LOST else _letters(parts[a + 1])
+                    out.update((k, pattern) for k in keys)
     return out
 
 
@@ -272,14 +357,14 @@ def decode(token: str, edges: list[list[tuple[int, frozenset[str]]]], words: dic
         node[""] = n
     none, unknown = math.log(0.1 / total), object()
     n = len(token)
-    # position -> state key -> (score, node, path as linked cells)
+    # position -> state key -> (score, node, path as linked cells, costs of the prefix's letters if it turns out to be no word)
     at: list[dict] = [{} for _ in range(n + 1)]
-    at[0][0] = (0.0, None, None)
+    at[0][0] = (0.0, None, None, 0.0)
 
-    def put(j: int, key, score: float, node, path) -> None:
+    def put(j: int, key, score: float, node, path, spelled: float = 0.0) -> None:
         old = at[j].get(key)
         if old is None or score > old[0]:
-            at[j][key] = (score, node, path)
+            at[j][key] = (score, node, path, spelled)
 
     def ends(score: float, node) -> float | None:
         if node is None:
@@ -296,32 +381,22 @@ def decode(token: str, edges: list[list[tuple[int, frozenset[str]]]], words: dic
         best_letter = (top(letters) if len(letters) > 1 else letters[0]) if letters else None
         symbols = [c for c in fits if c not in letters] if len(fits) > 1 else ([] if letters else list(fits))
         best_symbol = (top(symbols) if len(symbols) > 1 else symbols[0]) if symbols else None
-        for score, node, path in list(at[i].values()):
+        for score, node, path, spelled in list(at[i].values()):
             score += cost_of
             if letters:
                 inside = trie if node is None else node
                 if inside is not unknown:
                     for c in letters if len(letters) < len(inside) else [c for c in inside if c and c in fits]:
                         if c in inside:
-                            put(j, id(inside[c]), score, inside[c], (path, i, j, c))
+                            put(j, id(inside[c]), score, inside[c], (path, i, j, c), spelled + known.cost(c))
                 cost = KEPT if best_letter == LOST else known.cost(best_letter)
                 if not (keep or guess):
                     continue
-                if node is None or node is unknown:
-                    put(j, 1, score + cost, unknown, (path, i, j, best_letter))
-                else:
-                    # the prefix turns out to be no word
-                    so_far, p = 0.0, path
-                    while p is not None and p[3].isalpha():
-                        so_far, p = so_far + known.cost(p[3]), p[0]
-                    put(j, 1, score + so_far + cost, unknown, (path, i, j, best_letter))
+                put(j, 1, score + spelled + cost, unknown, (path, i, j, best_letter))
             if best_symbol is not None and (keep or guess):
                 done = ends(score, node)
                 if done is None:
-                    so_far, p = 0.0, path
-                    while p is not None and p[3].isalpha():
-                        so_far, p = so_far + known.cost(p[3]), p[0]
-                    done = score + so_far + none
+                    done = score + spelled + none
                 put(j, 0, done + (0.0 if best_symbol.isascii() else known.cost(best_symbol)), None, (path, i, j, best_symbol))
 
     for i in range(n):
@@ -331,13 +406,10 @@ def decode(token: str, edges: list[list[tuple[int, frozenset[str]]]], words: dic
                 step(i, j, fits, False, SEVERAL if token[i] == LOST and j - i > 1 else 0.0)
             at[i].clear()
     best = None
-    for score, node, path in at[n].values():
+    for score, node, path, spelled in at[n].values():
         done = ends(score, node)
         if done is None:
-            so_far, p = 0.0, path
-            while p is not None and p[3].isalpha():
-                so_far, p = so_far + known.cost(p[3]), p[0]
-            done = score + so_far + none
+            done = score + spelled + none
         if best is None or done > best[0]:
             best = (done, path)
     chars, put_in, p = [], [], best[1]
@@ -351,12 +423,18 @@ def decode(token: str, edges: list[list[tuple[int, frozenset[str]]]], words: dic
 
 def whole_lookup(token: str, cells: list[tuple[int, int, str | frozenset[str]]] | None) -> set[tuple[str, str]]:
     """(key, pattern) of the whole token among those of the corpus: along cells, or with any characters for the lost ones."""
+    spare = 0
     if cells is None:
-        shape, pattern = token, "".join(r"[^\x00-\x7F]{1,%d}" % len(x) if x[:1] == LOST else "".join(map(_class, x)) for x in re.split(rf"({LOST}+)", token))
+        parts = re.split(rf"({LOST}+)", token)
+        shape, pattern = token, "".join(_hole(x) if x[:1] == LOST else _letters(x) for x in parts)
+        # up to four lost bytes may be one character
+        spare = sum(len(x) - -(-len(x) // 4) for x in parts if x[:1] == LOST)
     else:
         shape, pattern = "".join(x if isinstance(x, str) else LOST for _, _, x in cells), "".join(_class(x) for _, _, x in cells)
     mask = _high.sub("*", shape)
-    return set() if mask == "*" and (len(shape) < 2 or shape == LOST * len(shape)) else {("#" + (mask if mask != "*" else f"*{len(shape)}"), f"^{pattern}$")}
+    if mask == "*" and (len(shape) < 2 or shape == LOST * len(shape)):
+        return set()
+    return {("#" + k, f"^{pattern}$") for k in ([mask] if mask != "*" else [f"*{n}" for n in range(len(shape) - spare, len(shape) + 1)])}
 
 
 _leads: dict[str, re.Pattern] = {}
@@ -477,9 +555,9 @@ def lattices(token: str, known: Known) -> Iterator[tuple[str, list[list[tuple[in
             if any(edges):
                 cells = forced(token, edges)
                 kept = [(i, i + 1, c) for i, c in enumerate(token)]
-                yield f"utf-8 as {wrong}", edges, lookups(cells) | lookups(kept) | (whole_lookup(token, cells) if LOST in token else set())
+                yield f"utf-8 as {wrong}", edges, lookups(cells, known) | lookups(kept, known) | (whole_lookup(token, cells) if LOST in token else set())
     if lost_evidence(token) and any(c.isalpha() for c in token):
-        yield LOST_CHANNEL, lost_edges(token, known), lost_lookups(token) | whole_lookup(token, None)
+        yield LOST_CHANNEL, lost_edges(token, known), lost_lookups(token, known) | long_lookups(token, known) | whole_lookup(token, None)
 
 
 def restored_token(token: str, channel: str, edges, candidates: list[tuple[str, int]], own: int, known: Known, total: float) -> tuple[str, float, bool] | None:
@@ -545,8 +623,8 @@ def token_gains(tokens: DataFrame) -> DataFrame:
                 if whole:
                     mask = _high.sub("*", w)
                     rows.append(("#" + (mask if mask != "*" else f"*{len(w)}"), w, "#" + w, n))
-                elif len(w) <= WORD:
-                    rows.extend((k, w, w, n) for k in _key(w))
+                else:
+                    rows.extend((k, w, w, n) for k in _key(w, wanted.value))
             if rows:
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in c[:3]), pa.array(c[3], pa.int64())], names=["key", "text", "word", "n"])
@@ -568,6 +646,9 @@ def token_gains(tokens: DataFrame) -> DataFrame:
     direct = spread.mapInArrow(propose, PROPOSAL)
     # tokens may be long: what moves by word or key is their hash
     asked = staged(spread.mapInArrow(ask, "token string, n long, channel string, asks array<struct<key:string,pattern:string>>").withColumn("id", F.unhex(F.md5(F.concat_ws("\n", "channel", "token")))))
+    # letters that words are asked for by: no more than Unicode has
+    letters = asked.select(F.explode("asks.key").alias("key")).where(F.col("key").rlike(r"^(\*C[0-9]|\+[^\x00-\x7F])")).select(F.substring("key", -1, 1).alias("c")).distinct().collect()
+    wanted = spark.sparkContext.broadcast(frozenset(r["c"] for r in letters))
     each = asked.select("id", F.explode("asks").alias("a")).select("id", "a.key", "a.pattern")
     odd = F.col("unit").rlike(r"[^\x00-\x7F]")
     words = model.where(odd & F.col("unit").rlike(r"^\p{L}+$")).select(F.col("unit").alias("word"), "n", F.lit(False).alias("whole"))

@@ -110,3 +110,75 @@ def test_copies_of_a_garbled_text_stay_found(spark):
     df = corpus(spark, bad)
     assert {r["doc_id"] for r in encoding.damaged_documents(df)[0].collect()} == {1000 + i for i in range(150)}
     assert {r["text"] for r in encoding.restored_documents(df).where("doc_id >= 1000").collect()} == {LINES[3]}
+
+
+KEY = "человеконенавистничество"
+GERMAN = "Donaudampfschifffahrtsgesellschaftskapitänswitwenrente"
+RUSSIAN = "превысокомногорассмотрительствующийпревосходительство"
+CJK = "本関数引数二個受取" * 5 + "和返却"
+
+
+def lost(word, *places):
+    """The word with U+FFFD for the bytes of the characters at these places: one, or as many as the bytes if the place is negative."""
+    holes = {abs(p): "�" * (len(word[abs(p)].encode()) if p < 0 else 1) for p in places}
+    return "".join(holes.get(i, c) for i, c in enumerate(word))
+
+
+WITH_HOLES = [
+    # no ASCII letter left to look by: first, last, or only inner letters known; several lost bytes a letter
+    ("Проверка", lost("Проверка", 4)),
+    ("Проверка", lost("Проверка", -2, -5)),
+    ("Проверка", lost("Проверка", 7)),
+    ("Проверка", lost("Проверка", 0, 3)),
+    ("Проверка", lost("Проверка", 0, 7)),
+    # over 40 letters: ASCII around the hole, none at all, both ends lost
+    (GERMAN, lost(GERMAN, GERMAN.index("ä"))),
+    (GERMAN, lost(GERMAN, -GERMAN.index("ä"))),
+    (RUSSIAN, lost(RUSSIAN, 3, -9, 45)),
+    (RUSSIAN, lost(RUSSIAN, 0, len(RUSSIAN) - 1)),
+    (CJK, lost(CJK, 20, -46)),
+    # of few letters, but over 40 lost bytes
+    (KEY, lost(KEY, *range(-22, -1))),
+    (KEY, lost(KEY, 23, *range(-21, 0))),
+    (KEY, lost(KEY, 23, *range(-21, 0), 0)),
+]
+
+
+def test_words_of_any_length_and_script_are_looked_up(spark):
+    words = ["Проверка", "Переделка", GERMAN, RUSSIAN, CJK, KEY]
+    rows = [(i, f"{w} {i}") for i, w in enumerate(words * 5)] + [(100 + i, f"см. {t}, {i}") for i, (_, t) in enumerate(WITH_HOLES)]
+    utf8 = [RUSSIAN[:5].encode().decode("cp1251") + "С�" + RUSSIAN[6:].encode().decode("cp1251", "replace"), GERMAN.encode().decode("cp1252").replace("¤", "�")]
+    rows += [(200 + i, f"{t}!") for i, t in enumerate(utf8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {r["doc_id"]: r["text"] for r in encoding.restored_documents(df).collect()}
+    assert [text[100 + i] for i in range(len(WITH_HOLES))] == [f"см. {w}, {i}" for i, (w, _) in enumerate(WITH_HOLES)]
+    assert [text[200 + i] for i in range(2)] == [f"{RUSSIAN}!", f"{GERMAN}!"]
+
+
+def test_lookups_find_every_word_that_fits():
+    import random
+    import re
+
+    rng = random.Random(7)
+    for _ in range(600):
+        alphabet = rng.choice(["abé", "дж", "aд", "äöabcdefgh"])
+        word = "".join(rng.choice(alphabet) for _ in range(rng.choice([1, 2, 5, 12, 39, 40, 41, 42, 60, 130])))
+        odd = [i for i, c in enumerate(word) if not c.isascii()]
+        gone = set(rng.sample(odd, rng.randint(0, len(odd)))) if rng.random() < 0.8 else set(odd[: rng.randint(0, len(odd))])
+        if not gone or len(gone) == len(word):
+            continue
+        token = "".join("�" * rng.choice([1, 2, 4]) if i in gone else c for i, c in enumerate(word))
+        # a symbol among the lost characters may end the word before, or begin it after, another
+        token = rng.choice(["", "x�", "«", "��"]) + token + rng.choice(["", "�é", ".", "���"])
+        asks = encoding.lost_lookups(token) | encoding.long_lookups(token)
+        keys = set(encoding._key(word, frozenset(word)))
+        patterns = [p.replace("\\x{", "\\U{") for k, p in asks if k in keys]
+        patterns = [re.sub(r"\\U\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), p) for p in patterns]
+        assert any(re.search(p, word) for p in patterns), (word, token)
+
+
+def test_lookups_stay_linear_in_the_token():
+    for part in ("a�", "д�", "д�����", "x�����", "é�a"):
+        one, ten = (encoding.lost_lookups(t) | encoding.long_lookups(t) for t in (part * 60, part * 600))
+        assert sum(map(len, (p for _, p in ten))) <= 12 * sum(map(len, (p for _, p in one)))
+    assert encoding.long_lookups("x" + "�" * 5000) == {("x*", r"^\x{78}"), ("+x", r"^\x{78}[^\x00-\x7F]{1,5000}")}
